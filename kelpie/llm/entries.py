@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.span_dedup(documents(spark, sf_dir))
+
+
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_rules(documents(spark, sf_dir))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("__copy").alias("copy"), "source", F.round("__rate", 9).alias("rate"), F.col("__order").alias("shuffle_key"), "text")
@@ -47,9 +55,13 @@ def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentence_spans": op1_sentence_spans,
+    "op2_line_frequency": op2_line_frequency,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_bpe_replay": op6_bpe_replay,
 }
 SQL: dict[str, str] = {
+    "op1_sentence_spans": substring_dedup.SQL,
+    "op2_line_frequency": quality.SQL,
     "op5_poisson_mixing": OP5_SQL,
 }
