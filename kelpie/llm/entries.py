@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substring_dedup
+from . import bpe, langid, mixing, quality, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,12 +58,18 @@ def op7_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs, vocabulary("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_line_frequency": op2_line_frequency,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_bpe_replay": op6_bpe_replay,
     "op7_simhash_index": op7_simhash_index,
+    "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {
     "op1_sentence_spans": substring_dedup.SQL,
