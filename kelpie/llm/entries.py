@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, secret_scan, simhash, substring_dedup
+from . import bpe, langid, mixing, pii_votes, quality, secret_scan, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op7_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.find(documents(spark, sf_dir))
+
+
 def op9_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_bpe_replay": op6_bpe_replay,
     "op7_simhash_index": op7_simhash_index,
+    "op8_weak_supervision": op8_weak_supervision,
     "op9_credential_linking": op9_credential_linking,
     "op10_language_id": op10_language_id,
 }
