@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii_votes, quality, secret_scan, simhash, substring_dedup
+from . import bpe, chunk_prints, langid, mixing, pii_votes, quality, secret_scan, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_rules(documents(spark, sf_dir))
 
 
+def op4_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_prints.with_next(documents(spark, sf_dir))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("__copy").alias("copy"), "source", F.round("__rate", 9).alias("rate"), F.col("__order").alias("shuffle_key"), "text")
@@ -74,6 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_line_frequency": op2_line_frequency,
+    "op4_content_chunks": op4_content_chunks,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_bpe_replay": op6_bpe_replay,
     "op7_simhash_index": op7_simhash_index,
