@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_prints, langid, mixing, pii_votes, quality, secret_scan, simhash, substring_dedup
+from . import bpe, chunk_prints, langid, mixing, pii_votes, quality, secret_scan, simhash, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_rules(documents(spark, sf_dir))
 
 
+def op3_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.with_next(documents(spark, sf_dir))
 
@@ -78,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_line_frequency": op2_line_frequency,
+    "op3_bucket_refinement": op3_bucket_refinement,
     "op4_content_chunks": op4_content_chunks,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_bpe_replay": op6_bpe_replay,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_sentence_spans": substring_dedup.SQL,
     "op2_line_frequency": quality.SQL,
+    "op3_bucket_refinement": suffix_dedup.SQL,
     "op5_poisson_mixing": OP5_SQL,
     "op9_credential_linking": secret_scan.SQL,
 }
