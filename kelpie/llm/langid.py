@@ -2,8 +2,8 @@
 
 The vocabulary is a public one of fixed size. A language gives each piece a probability; a
 word's probability is the sum over all ways to segment it into pieces, found by a forward
-pass; a text's is the product over its words (runs without white space, each with a word
-start mark; words longer than STRETCH code points are taken in stretches of that length).
+pass; a text's is the product over its words (runs of letters in lower case, each with a word
+start mark; runs longer than STRETCH letters are taken in stretches of that length).
 A code point that no piece covers counts as one unknown piece.
 
 Probabilities are learned by expectation-maximisation (forward-backward sums of expected
@@ -34,9 +34,16 @@ from pyspark.sql import functions as F
 from .common import column, saved, text_batches
 
 SAMPLE, ROUNDS, SMOOTH, STRETCH, FOLDS = 1000, 2, 0.1, 24, 5
-CACHE = 400_000
+CACHE = 500_000
+BROADCAST_ROWS = 200_000
 MARK = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(rf"[^\W\d_]{{1,{STRETCH}}}")
+U = np.uint64
+ODD = U(0x9E3779B97F4A7C15)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(U)
 
 
 def read_pieces(path: str) -> list[str]:
@@ -52,31 +59,64 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+class Pieces:
+    """The vocabulary by piece length: sorted hashes of the pieces, and a bit table that most other strings fail."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.count, self.by_length, self.maybe = len(pieces), {}, np.zeros(1 << 20, bool)
+        for n in sorted({len(p) for p in pieces}):
+            ids = np.array([i for i, p in enumerate(pieces) if len(p) == n], dtype=np.int64)
+            h = self.first(points("".join(pieces[i] for i in ids)).reshape(-1, n)[:, 0])
+            for k in range(1, n):
+                h = self.longer(h, points("".join(pieces[i] for i in ids)).reshape(-1, n)[:, k])
+            order = np.argsort(h)
+            self.by_length[n] = (h[order], ids[order])
+            self.maybe[h >> U(44)] = True
+
+    @staticmethod
+    def first(c: np.ndarray) -> np.ndarray:
+        return (c + U(1)) * ODD
+
+    @staticmethod
+    def longer(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> U(31))) * ODD + c + U(1)
+
+
 class Lattice:
-    """All segmentations of some words as edges (word, from, to, piece), by their ends."""
-
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int) -> None:
-        unknown = len(ids)
-        w, a, b, p = [], [], [], []
-        for k, word in enumerate(words):
-            n = len(word)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    if (piece := ids.get(word[i:j])) is not None:
-                        w.append(k)
-                        a.append(i)
-                        b.append(j)
-                        p.append(piece)
-                        single |= j == i + 1
-                if not single:
-                    w.append(k)
-                    a.append(i)
-                    b.append(i + 1)
-                    p.append(unknown)
-        self.length = np.fromiter(map(len, words), np.int64, len(words))
-        w, a, b, p = (np.array(x, dtype=np.int64) for x in (w, a, b, p))
-        order = np.lexsort((w, b))
+    """All segmentations of some words (each with a start mark) as edges (word, from, to, piece), by their ends."""
+
+    def __init__(self, words: list[str], pieces: Pieces) -> None:
+        self.length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        self.top = int(self.length.max()) if len(words) else 0
+        c = points(MARK + MARK.join(words)) if words else np.zeros(0, U)
+        start = np.cumsum(np.r_[0, self.length])[:-1]
+        word = np.repeat(np.arange(len(words)), self.length)
+        rest = np.repeat(start + self.length, self.length) - np.arange(len(c))  # code points left in the word
+        single, edges, h, at = np.zeros(len(c), bool), [], Pieces.first(c), np.arange(len(c))
+        for n in range(1, max(pieces.by_length, default=0) + 1):
+            if n > 1:
+                more = rest[at] >= n
+                at, h = at[more], h[more]
+                h = Pieces.longer(h, c[at + n - 1])
+            if not len(at):
+                break
+            if n not in pieces.by_length:
+                continue
+            hashes, ids = pieces.by_length[n]
+            some = np.flatnonzero(pieces.maybe[h >> U(44)])
+            spot = np.minimum(np.searchsorted(hashes, h[some]), len(hashes) - 1)
+            same = hashes[spot] == h[some]
+            found = at[some[same]]
+            edges.append((found, np.full(len(found), n), ids[spot[same]]))
+            if n == 1:
+                single[found] = True
+        alone = np.flatnonzero(~single)
+        edges.append((alone, np.ones(len(alone), np.int64), np.full(len(alone), pieces.count)))
+        at, n, p = (np.concatenate(x) for x in zip(*edges))
+        w = word[at]
+        a = at - start[w]
+        b = a + n
+        order = np.argsort(b * len(words) + w, kind="stable")
         self.w, self.a, self.b, self.p = w[order], a[order], b[order], p[order]
         self.top = int(self.length.max()) if len(words) else 0
         self.cuts = np.searchsorted(self.b, np.arange(self.top + 2))
@@ -112,16 +152,8 @@ class Lattice:
         return found
 
 
-def stretches(word: str) -> list[str]:
-    marked = MARK + word
-    return [marked] if len(marked) <= STRETCH else [marked[i : i + STRETCH] for i in range(0, len(marked), STRETCH)]
-
-
 def words_of(text: str) -> list[str]:
-    found = [MARK + w for w in text.split()]
-    if len(text) >= STRETCH and max(map(len, found), default=0) > STRETCH:
-        return [s for w in found for s in stretches(w[1:])]
-    return found
+    return WORD.findall(text.lower())
 
 
 class Model:
@@ -137,8 +169,7 @@ class Model:
         self.__init__(state["languages"], state["pieces"].split("\0"), state["chances"])
 
     def start(self) -> None:
-        self.ids = {p: i for i, p in enumerate(self.pieces)}
-        self.longest = max(map(len, self.pieces), default=1)
+        self.index = Pieces(self.pieces)
         self.empty()
 
     def empty(self) -> None:
@@ -151,12 +182,13 @@ class Model:
         if len(known) + len(new) > CACHE:
             self.empty()
             known, new = self.at, list({w for t in texts for w in t})
-        scores = [Lattice(new[i : i + 20_000], self.ids, self.longest).scores(self.chances) for i in range(0, len(new), 20_000)]
+        scores = [Lattice(new[i : i + 20_000], self.index).scores(self.chances) for i in range(0, len(new), 20_000)]
         known.update(zip(new, range(len(known), len(known) + len(new))))
-        self.table = np.concatenate([self.table, *scores])
+        if scores:
+            self.table = np.concatenate([self.table, *scores])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words_of(t) if t and self.languages and LETTER.search(t) else [] for t in texts]
+        split = [words_of(t) if t and self.languages else [] for t in texts]
         self.learn_words(split)
         names, scores = [], []
         for words in split:
@@ -175,7 +207,9 @@ def sample(docs: DataFrame, size: int = SAMPLE, doc_id: str = "doc_id", text: st
     """(lang, text) of the labelled documents to learn from, at most `size` ids a language."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = own.select("id", "lang").withColumn("n", rank).where(F.col("n") <= size).select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct()
+    chosen = saved(own.select("id", "lang").withColumn("n", rank).where(F.col("n") <= size).select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     return own.join(chosen, (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
 
 
@@ -207,7 +241,7 @@ def fit(docs: DataFrame, vocabulary: str, size: int = SAMPLE, rounds: int = ROUN
                 own, n = column(batch, "word"), np.array(column(batch, "n"), dtype=np.float64)
                 for k in np.unique(by):
                     at = np.flatnonzero(by == k)
-                    total[:, k] += Lattice([own[i] for i in at], now.ids, now.longest).expected(now.chances[:, k], n[at])
+                    total[:, k] += Lattice([own[i] for i in at], now.index).expected(now.chances[:, k], n[at])
             piece, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], names=["piece", "k", "n"])
 
