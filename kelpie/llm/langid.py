@@ -270,6 +270,21 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, in whose texts a language can be told."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        if not hasattr(own, "at"):
+            own.start()
+        for part in text_batches(rows, 4_000_000):
+            names, _ = own.predict(column(part, text))
+            yield part.filter(pa.array([n != "und" for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def reference_score(word: str, chance: dict[str, float], unknown: float) -> float:
     """Log probability of a word by plain recursion over all segmentations; for tests."""
 

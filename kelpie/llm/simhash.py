@@ -195,3 +195,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, dense: int = DENS
     named = rooted.join(lows, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component")
     digits: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", digits.alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.col("component").alias("component_key"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """Rows of docs, with all their columns: one document of each component, the one with the smallest id.
+
+    Rows that repeat an id are one document; of different texts the smallest stays. A row
+    without an id is known by its text, after all ids below 2^62.
+    """
+    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), by_text))
+    first = near_duplicates(named, distance, doc_id="__id", text=text).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    kept = named.join(first, F.col("__id") == F.col("__first"), "left_semi")
+    order = F.struct(F.col(text).isNull(), F.col(text))
+    return kept.groupBy("__id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("row")).select("row.*")
