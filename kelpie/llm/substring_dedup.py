@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import NO_ID, column, in_batches, key_of
 
 SPAN, MIN_WORDS = 3, 10
+#: Bytes of text a batch holds.
+BATCH_BYTES = 2_000_000
 CUT = re.compile(r"[.!?]+(?:[\x20\x09-\x0D]+|\Z)|\n[\x20\x09-\x0D]*")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,9 +73,9 @@ class Runs:
         self.run = mixed[self.at].view(np.int64)
 
 
-def span_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def span_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, batch_bytes: int = BATCH_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, n_words_removed, clean_text) of each row of docs."""
-    rows = in_batches(docs.select(F.col(doc_id).alias("doc_id"), key_of(doc_id).alias("key"), F.col(text).alias("text")), "text", "key")
+    rows = in_batches(docs.select(F.col(doc_id).alias("doc_id"), key_of(doc_id).alias("key"), F.col(text).alias("text")), "text", "key", batch_bytes)
 
     def extract(key: tuple, table: pa.Table) -> pa.Table:
         runs = Runs(column(table, "text"), span, min_words)
