@@ -206,8 +206,14 @@ class Model:
 def sample(docs: DataFrame, size: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, text) of the labelled documents to learn from, at most `size` ids a language."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = saved(own.select("id", "lang").withColumn("n", rank).where(F.col("n") <= size).select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
+    slim = own.select("id", "lang").withColumn("h", F.xxhash64("id"))
+    counts = slim.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    low = F.lit(None).cast("double")
+    for r in counts:  # far more than `size` of a large language have hashes under this bound, so few rows meet in its task
+        low = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 4 * size / r.n))).otherwise(low)
+    slim = slim.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= low)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = saved(slim.withColumn("n", rank).where(F.col("n") <= size).select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     return own.join(chosen, (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
