@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, in_batches, key_of
 
 LENGTH, GRAM = 50, 24
-BATCH_BYTES, PART_BYTES = 2_000_000, 2_000_000
+BATCH_BYTES, PART_BYTES = 4_000_000, 2_000_000
 PAD = 64
 U = np.uint64
 ODD, MIX = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
