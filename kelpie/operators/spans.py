@@ -91,7 +91,7 @@ def emails(text: Column) -> Column:
 
 
 def cards(text: Column) -> Column:
-    found = find_spans(text, CARD, text.rlike(rf"{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}"))
+    found = find_spans(text, CARD, text.rlike(DIGIT) & text.rlike(rf"{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}"))
     return as_detections(F.filter(found, lambda s: luhn_valid(s["value"])), "payment_card", "regex", 102)
 
 
@@ -103,26 +103,29 @@ def fields(text: Column, labels: list[tuple[str, str]] | None = None) -> Column:
     """Values that a label before them names.
 
     Most values need four digits, so texts without any digit skip those labels by one cheap test; the others are
-    preceded by a search for plain pieces of their labels. Regexes run on what is left.
+    preceded by a search for plain pieces of their labels. Regexes run on what is left. The tests' operands are bound as
+    a lambda's variable, so that they are computed once a text and not once a label.
     """
-    low = F.translate(F.lower(text), "ſıK", "sik")  # letters that match s, i and k in any case
-    numbers = text.rlike(DIGIT)
-    out = []
-    for i, (label, kind) in enumerate(FIELDS if labels is None else labels):
+    odd = text.contains("ſ") | text.contains("ı") | text.contains("\u212a")  # letters that match s, i and k in any case
+    facts = F.struct(F.lower(text).alias("low"), text.rlike(DIGIT).alias("numbers"), odd.alias("odd"))
+
+    def one(i: int, label: str, kind: str, known: Column) -> Column:
         if CATEGORY_OF.get(kind, kind) == "secret":
             good = lambda s: (F.length(s["value"]) >= 6) & ~F.lower(s["value"]).isin(NO_SECRETS)
-            gate = reduce(or_, [low.contains(x) for x in STEMS[kind]]) if kind in STEMS else F.lit(True)
+            gate = reduce(or_, [known["low"].contains(x) for x in STEMS[kind]], known["odd"]) if kind in STEMS else F.lit(True)
         else:
             good = lambda s: F.regexp_count(s["value"], F.lit(DIGIT)) >= 4
-            gate = numbers & text.rlike(rf"(?iu)(?:{label})")
+            gate = known["numbers"] & text.rlike(rf"(?iu)(?:{label})")
 
         def trimmed(s: Column) -> Column:
             value = F.regexp_replace(s["value"], r"""[.:!?'")\]}>]+\z""", "")
             return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).cast("int").alias("end"), value.alias("value"))
 
         found = find_spans(text, field_pattern(label), gate, values=True)
-        out.append(as_detections(F.filter(F.transform(found, trimmed), good), kind, "field-regex", 200 + i))
-    return F.concat(*out)
+        return as_detections(F.filter(F.transform(found, trimmed), good), kind, "field-regex", 200 + i)
+
+    every = list(enumerate(FIELDS if labels is None else labels))
+    return F.get(F.transform(F.array(facts), lambda known: F.concat(*[one(i, label, kind, known) for i, (label, kind) in every])), F.lit(0))
 
 
 def overlaps(a: Column, b: Column) -> Column:

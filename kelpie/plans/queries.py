@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 REGEX = {"detector_mode": "regex"}
+TEXTS = ("documents", "pages")
 KEY = b"a fixed key of the queries"
 
 
@@ -32,7 +33,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is read by fewer tasks than there are cores is dealt out anew (only small tables are)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 DOCS = "SELECT doc_id AS rn, doc_id, coalesce(text, '') AS text, lang, source FROM documents"

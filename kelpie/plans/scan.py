@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,19 @@ NONE = f"array<{DETECTION}>"
 KEEP = "__kelpie_"
 
 
-def deterministic(text: Column, found: Column | None = None) -> Column:
-    """Detections by shape and by label, after custom ones; built-in functions only."""
-    own = [secrets(text), emails(text), cards(text), fields(text)]
-    return F.concat(*([found] if found is not None else []), *own)
+def deterministic(text: Column) -> Column:
+    """Detections by shape and by label; built-in functions only."""
+    return F.concat(secrets(text), emails(text), cards(text), fields(text))
+
+
+@lru_cache(maxsize=8)
+def _native(name: str, context: str) -> Column:
+    """deterministic() of a column, built once a Spark context: the expression is large, and each of its parts is a call to the JVM."""
+    return deterministic(F.col(name))
+
+
+def native(df: DataFrame, name: str) -> Column:
+    return _native(name, df.sparkSession.sparkContext.applicationId)
 
 
 def detections(df: DataFrame, text: str, settings: policy.Settings, scorer: score.Scorer | None = None, edges: frozenset[str] | None = None) -> DataFrame:
@@ -35,9 +45,9 @@ def detections(df: DataFrame, text: str, settings: policy.Settings, scorer: scor
     value = F.col(f"{KEEP}text")
     if settings.patterns:
         out = out.withColumn(f"{KEEP}custom", custom.detections(value, settings.patterns))
-        out = out.withColumn(f"{KEEP}error", F.col(f"{KEEP}custom.error")).withColumn(f"{KEEP}all", deterministic(value, F.col(f"{KEEP}custom.found"))).drop(f"{KEEP}custom")
+        out = out.withColumn(f"{KEEP}error", F.col(f"{KEEP}custom.error")).withColumn(f"{KEEP}all", F.concat(F.col(f"{KEEP}custom.found"), native(df, f"{KEEP}text"))).drop(f"{KEEP}custom")
     else:
-        out = out.withColumn(f"{KEEP}error", F.lit(None).cast("string")).withColumn(f"{KEEP}all", deterministic(value))
+        out = out.withColumn(f"{KEEP}error", F.lit(None).cast("string")).withColumn(f"{KEEP}all", native(df, f"{KEEP}text"))
     found = F.col(f"{KEEP}all")
     if settings.detector_mode == "hybrid":
         if scorer is None:
