@@ -41,7 +41,6 @@ from .common import NO_ID, in_batches, key_of
 
 LENGTH, GRAM = 50, 24
 BATCH_BYTES, PART_BYTES = 4_000_000, 2_000_000
-PAD = 64
 U = np.uint64
 ODD, MIX = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 
@@ -63,20 +62,20 @@ def slid(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 class Texts:
-    """Texts as one buffer with padding between them."""
+    """Texts as one buffer with `pad` zero bytes around each, so that reads of so many bytes beyond a text meet no other."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, pad: int) -> None:
         texts = pc.fill_null(table.column("text"), "").cast(pa.large_string()).combine_chunks()
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = memoryview(texts.buffers()[2] or b"")
-        gap = bytes(PAD)
+        gap = bytes(pad)
         self.size = np.diff(offsets) if len(texts) else np.zeros(0, np.int64)
         parts = [gap]
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             parts += (whole[a:b], gap)
         self.data = b"".join(parts)
-        self.start = PAD + np.cumsum(np.r_[0, self.size + PAD])[:-1].astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        self.start = pad + np.cumsum(np.r_[0, self.size + pad])[:-1].astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.end = self.start + self.size
         self.key = np.array(table.column("key"), dtype=np.int64)
         self.word = np.ndarray((max(0, len(self.data) - 7),), dtype="<u8", buffer=self.data, strides=(1,))
@@ -87,9 +86,9 @@ class Texts:
 
 class Refiner:
     def __init__(self, length: int = LENGTH, gram: int = GRAM) -> None:
-        if not 8 <= gram <= length <= 2 * PAD:
+        if not 8 <= gram <= length:
             raise ValueError("the q-gram takes 8 bytes or more, and no more than the string")
-        self.length, self.gram, self.left = length, gram, length - gram
+        self.length, self.gram, self.left, self.pad = length, gram, length - gram, length + 8
 
     def ids(self, t: Texts, at: np.ndarray, size: int) -> np.ndarray:
         """Bucket identifiers of the first `size` bytes at each position: from identifiers of half the size (a power of two times 8) at two offsets."""
@@ -279,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     values = lambda t, doc: t.key[doc].astype(U) + U(1 << 63)
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
-        t, batch = Texts(table), batch_of(table)
+        t, batch = Texts(table, refine.pad), batch_of(table)
         at = refine.anchors(t)
         ids, key = refine.ids(t, at, gram), t.key[t.doc(at)]
         order = np.lexsort((key, ids))
@@ -293,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         return sent.table()
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, back = Texts(left), Returned(right)
+        t, back = Texts(left, refine.pad), Returned(right)
         at = np.cumsum(back.carried(0, 1)[0])
         ids = refine.ids(t, at, gram)
         live, _ = back.found(1, ids)
@@ -307,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         return sent.table()
 
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, back = Texts(left), Returned(right)
+        t, back = Texts(left, refine.pad), Returned(right)
         at = np.cumsum(back.carried(0, 1)[0])
         doc = t.doc(at)
         context = refine.contexts(t, at, doc)
@@ -327,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         return sent.table()
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, back = Texts(left), Returned(right)
+        t, back = Texts(left, refine.pad), Returned(right)
         steps, sizes = back.carried(0, 2)
         start, end = np.cumsum(steps), np.cumsum(steps) + sizes
         steps, sizes = back.carried(1, 2)

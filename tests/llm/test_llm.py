@@ -96,7 +96,7 @@ def bytes_removed(docs, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "alphabet"), [(50, 24, "ab"), (12, 8, "abc"), (50, 24, "a"), (20, 9, "aé")])
+@pytest.mark.parametrize(("length", "gram", "alphabet"), [(50, 24, "ab"), (12, 8, "abc"), (50, 24, "a"), (20, 9, "aé"), (128, 16, "ab")])
 def test_bytes_removed_equal_brute_force(spark, length, gram, alphabet):
     r = random.Random(length)
     pool = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 90))) for _ in range(12)]
@@ -169,6 +169,17 @@ def test_bpe_equals_tiktoken(spark, rows, merges):
     assert sorted(bytes(r.bytes) for r in both.collect()) == sorted((t or "").encode() for _, t, *_ in rows)
 
 
+def test_both_splitters_agree():
+    import public_tokenizers
+    import regex
+
+    assert bpe.PATTERN == public_tokenizers.PATTERN
+    split, slow, r = bpe.splitter(bpe.PATTERN), regex.compile(bpe.PATTERN).findall, random.Random(1)
+    for _ in range(4000):
+        text = "".join(chr(r.choice([*range(9, 14), *range(28, 127), *range(0x80, 0x260), 0x2028, 0x4E00])) if r.random() < 0.5 else r.choice(" 's1aé\n_.") for _ in range(r.randint(1, 30)))
+        assert split(text) == slow(text)
+
+
 def test_replay_takes_lower_ranks_first():
     tokens = [bytes([i]) for i in range(256)] + [b"bc", b"abcd", b"ab", b"cd", b"abc"]  # abcd ranks below the parts it may come from
     lines = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
