@@ -40,7 +40,10 @@ from pyspark.sql import functions as F
 from .common import NO_ID, in_batches, key_of
 
 LENGTH, GRAM = 50, 24
-BATCH_BYTES, PART_BYTES = 4_000_000, 2_000_000
+#: Bytes of text of a batch and of a partition of identifiers, at least and at most; they grow
+#: with the input in between, so that the number of blobs exchanged doesn't grow with its square.
+BATCH_BYTES, PART_BYTES = (4_000_000, 12_000_000), (2_000_000, 16_000_000)
+MANY_BATCHES, MANY_PARTS = 4_000, 2_000
 U = np.uint64
 ODD, MIX = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 
@@ -266,12 +269,14 @@ def stretched(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum())) if len(start) else np.zeros(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES, with_bytes: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int | None = None, part_bytes: int | None = None, with_bytes: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs; with_bytes: and kept, the bytes left."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id).alias("key"), F.col(text).alias("text"))
+    total = int(own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    between = lambda x, least, most: max(least, min(most, x))
+    batch_bytes = batch_bytes or between(total // MANY_BATCHES, *BATCH_BYTES)
     rows = in_batches(own, "text", "key", batch_bytes)
-    total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, -(-int(total) // part_bytes))
+    parts = max(1, -(-total // (part_bytes or between(total // MANY_PARTS, *PART_BYTES))))
     refine = Refiner(length, gram)
     batch_of = lambda table: table.column("__batch")[0].as_py()
     # values are compared as unsigned integers; shifted keys keep their order
