@@ -7,9 +7,11 @@ import json
 import os
 import random
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,27 +45,26 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "text")
 
 
-def systematic(df: DataFrame, order: str, offsets: list[int] = [0, 12_500, 25_000, 50_000, 75_000, 99_000], per: int = 100) -> DataFrame:  # noqa: B006
+def systematic(df: DataFrame, order: str, offsets: list[int] = [0, 12_500, 25_000, 50_000, 75_000, 99_000], per: int = 100, buckets: int = 200) -> DataFrame:  # noqa: B006
     """`per` rows from each offset in the order of a unique integer column (a sampling operator).
 
-    Only the column is ranked: tasks count their ranges, and the counts give each range its first rank.
+    Fixed bounds from quantiles cut the column into buckets, whose counts give each bucket its first rank; rows are
+    ranked only in buckets that hold a wanted rank. Bounds are literals, so a task that is run again ranks alike.
     """
-    ranges = df.select(order).repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    part = ranges.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    sizes = part.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first")).orderBy("__p").collect()  # one row a task
-    start, before = 0, []
-    for r in sizes:
-        before.append((r["__p"], start - r["first"]))
-        start += r["n"]
-    shift = F.lit(None).cast("long")
-    for p, s in before:
-        shift = F.when(F.col("__p") == p, F.lit(s)).otherwise(shift)
-    rank = part.withColumn("__rank", F.col("__i") + shift)
-    wanted = None
-    for o in offsets:
-        hit = F.col("__rank").between(o, o + per - 1)
-        wanted = hit if wanted is None else wanted | hit
-    return df.join(rank.where(wanted).select(order), order, "left_semi")
+    bounds = sorted({int(b) for b in df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.5 / buckets)})
+    own = df.select(order).withColumn("__b", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col(order))))
+    first, at = {}, 0
+    for r in own.groupBy("__b").agg(F.count("*").alias("n")).orderBy("__b").collect():  # one row a bucket
+        if any(o < at + r.n and at < o + per for o in offsets):
+            first[r["__b"]] = at
+        at += r.n
+    base = F.lit(None).cast("long")
+    for k, v in first.items():
+        base = F.when(F.col("__b") == k, F.lit(v)).otherwise(base)
+    rank = base + F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
+    wanted = reduce(or_, [F.col("__r").between(o, o + per - 1) for o in offsets], F.lit(False))
+    chosen = own.where(F.col("__b").isin(list(first))).withColumn("__r", rank).where(wanted).select(F.col(order).alias("__k"))
+    return df.join(chosen, F.col(order) == F.col("__k"), "left_semi")
 
 
 def parse_spans(raw: Column) -> Column:
