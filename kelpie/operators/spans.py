@@ -125,7 +125,16 @@ def fields(text: Column, labels: list[tuple[str, str]] | None = None) -> Column:
         return as_detections(F.filter(F.transform(found, trimmed), good), kind, "field-regex", 200 + i)
 
     every = list(enumerate(FIELDS if labels is None else labels))
-    return F.get(F.transform(F.array(facts), lambda known: F.concat(*[one(i, label, kind, known) for i, (label, kind) in every])), F.lit(0))
+    plain = {x for _, kind in FIELDS if labels is None for x in STEMS.get(kind, [])}
+
+    def all_of(known: Column) -> Column:
+        found = F.concat(*[one(i, label, kind, known) for i, (label, kind) in every])
+        if labels is not None:
+            return found
+        some = reduce(or_, [known["low"].contains(x) for x in sorted(plain)], known["numbers"] | known["odd"])
+        return F.when(some, found).otherwise(F.array().cast(f"array<{DETECTION}>"))
+
+    return F.get(F.transform(F.array(facts), all_of), F.lit(0))
 
 
 def overlaps(a: Column, b: Column) -> Column:
