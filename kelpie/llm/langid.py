@@ -2,8 +2,10 @@
 
 The vocabulary is a public one of fixed size. A language gives each piece a probability; a
 word's probability is the sum over all ways to segment it into pieces, found by a forward
-pass; a text's is the product over its words (runs of letters in lower case, each with a word
-start mark; runs longer than STRETCH letters are taken in stretches of that length).
+pass; a text's is the product over its words (runs of letters and combining marks in lower
+case, each with a word start mark; longer runs are taken in stretches of STRETCH code points).
+Decimal digits, punctuation, symbols, white space, format characters (joiners too) and marks
+without a letter aren't scored.
 A code point that no piece covers counts as one unknown piece.
 
 Probabilities are learned by expectation-maximisation (forward-backward sums of expected
@@ -28,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,10 @@ SAMPLE, ROUNDS, SMOOTH, STRETCH, FOLDS = 1000, 2, 0.1, 24, 5
 CACHE = 500_000
 BROADCAST_ROWS = 200_000
 MARK = "▁"
+#: Words of texts without combining marks; all marks are in the ranges of MARKS, so most texts take this way.
 WORD = re.compile(rf"[^\W\d_]{{1,{STRETCH}}}")
+MARKS = re.compile("[\u0300-\u1fff\u20d0-\u20f0\u2cef-\U0010ffff]")
+MARKED = regex.compile(r"\p{M}*[\p{L}\p{Nl}\p{No}][\p{L}\p{M}\p{Nl}\p{No}]*")
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 
@@ -153,7 +159,10 @@ class Lattice:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    if not MARKS.search(text):
+        return WORD.findall(text)
+    return [run[i : i + STRETCH] for run in MARKED.findall(text) for i in range(0, len(run), STRETCH)]
 
 
 class Model:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -343,6 +344,14 @@ def test_segmentations_are_summed():
     assert abs(letters - sum(len(w) + 1 for w in words)) < 1e-6  # expected pieces cover each word
 
 
+def test_marks_stay_in_words():
+    assert langid.words_of("हिन्दी भाषा में 12") == ["हिन्दी", "भाषा", "में"]
+    assert langid.words_of("Cafe\u0301 au_lait") == ["cafe\u0301", "au", "lait"]
+    assert langid.words_of("❤\ufe0f 5 \u0301") == [] and langid.words_of("x²\u0301" * 20) == ["x²\u0301" * 8, "x²\u0301" * 8, "x²\u0301" * 4]
+    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    assert all(langid.words_of(f"a{c}b") == [f"a{c}b".lower()] for c in marks)
+
+
 def test_languages_are_told(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(None, "the 12"), (-1, None), (-2, ""), (-3, "12 :-)")], "doc_id long, text string")
