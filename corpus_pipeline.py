@@ -4,8 +4,8 @@ STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir), where
 the stage before it kept, and returns a DataFrame. All but the last return the columns of
 documents. Each is one operator of kelpie.llm with production parameters:
 
-1. language_id: documents in which no language can be told (no letter, or no language was
-   learned) go.
+1. language_id: documents in which no language can be told (no letter) go, also where no
+   language was learned.
 2. near_dedup: of each component of near-duplicates the document with the smallest id stays;
    rows that repeat an id are one document (of different texts the smallest stays), and a
    document without an id is known by its text, after all others.

@@ -286,7 +286,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns, in whose texts a language can be told."""
+    """Rows of docs, with all their columns, in whose texts a language can be told; where no language was learned, those with a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +294,11 @@ def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
         if not hasattr(own, "at"):
             own.start()
         for part in text_batches(rows, 4_000_000):
-            names, _ = own.predict(column(part, text))
-            yield part.filter(pa.array([n != "und" for n in names], pa.bool_()))
+            if own.languages:
+                known = [n != "und" for n in own.predict(column(part, text))[0]]
+            else:
+                known = [bool(t and words_of(t)) for t in column(part, text)]
+            yield part.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

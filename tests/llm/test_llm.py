@@ -365,6 +365,12 @@ def test_languages_are_told(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
 
 
+def test_texts_with_letters_stay_without_labels(spark):
+    docs = frame(spark, [(1, "plain words", None, "a"), (2, "12 :-)", None, "a"), (3, None, None, "a"), (None, "é", None, "a")])
+    kept = langid.keep_known(docs, langid.fit(docs, entries.vocabulary("piece_bpe_32k.model")))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, None}
+
+
 def test_quality_measures_of_hand_made_texts():
     assert quality.measures("") == (0, 0, 0, 0, 0)
     assert quality.measures("a b c\na b c\n\n# a b c") == (10, 10, 1, 1, 9)
