@@ -7,8 +7,8 @@ documents. Each is one operator of kelpie.llm with production parameters:
 1. language_id: documents in which no language can be told (no letter) go, also where no
    language was learned.
 2. near_dedup: of each component of near-duplicates the document with the smallest id stays;
-   rows that repeat an id are one document (of different texts the smallest stays), and a
-   document without an id is known by its text, after all others.
+   rows that repeat an id are one document (of its texts that aren't near copies of a smaller
+   id's the smallest stays), and a document without an id is known by its text, after all others.
 3. secret_scan: secrets, and weak parts of credentials that are linked, are replaced in the
    texts; no document goes.
 4. source_mix: documents are repeated by Poisson counts so that each source has equal weight,

@@ -65,15 +65,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """(doc_id, key, fp): fp is the fingerprint's 64 bits as a signed long. A column `mark` of longs comes along as it is."""
+    marks = [mark] if mark else []
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_batches(rows, 8_000_000):
             found = np.array([fingerprint(t) for t in column(part, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(found)], names=["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(found), *map(part.column, marks)], names=["doc_id", "key", "fp", *marks])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id).alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id).alias("key"), F.col(text).alias("text"), *marks).mapInArrow(run, "doc_id long, key long, fp long" + "".join(f", {m} long" for m in marks))
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,27 +186,29 @@ def links(distinct: DataFrame, distance: int = DISTANCE, dense: int = DENSE, man
     return found.where("b IS NOT NULL").unionByName(middle.join(least, F.col("m") == F.col("n")).where("a <> b").select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, dense: int = DENSE, many: int = MANY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, component_key) of each row of docs."""
-    prints = saved(fingerprints(docs, doc_id, text))
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, dense: int = DENSE, many: int = MANY, doc_id: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id, component_key) of each row of docs, and its mark."""
+    prints = saved(fingerprints(docs, doc_id, text, mark))
     least = prints.groupBy("fp").agg(F.min("key").alias("low"))
     roots = components(links(least.select("fp"), distance, dense, many))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "of")
     named = rooted.join(lows, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component")
     digits: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", digits.alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.col("component").alias("component_key"))
+    return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", digits.alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.col("component").alias("component_key"), *([mark] if mark else []))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """Rows of docs, with all their columns: one document of each component, the one with the smallest id.
 
-    Rows that repeat an id are one document; of different texts the smallest stays. A row
-    without an id is known by its text, after all ids below 2^62.
+    Rows that repeat an id are one document; of those of its texts that aren't near copies of
+    a smaller id's the smallest stays. A row without an id is known by its text, after all ids
+    below 2^62.
     """
-    by_text = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), by_text))
-    first = near_duplicates(named, distance, doc_id="__id", text=text).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = named.join(first, F.col("__id") == F.col("__first"), "left_semi")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    by_text = F.shiftrightunsigned(hashed, 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("__mark", hashed).withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), by_text))
+    first = near_duplicates(named, distance, doc_id="__id", text=text, mark="__mark").where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.collect_set("__mark").alias("__same"))
+    kept = named.join(first, (F.col("__id") == F.col("__first")) & F.array_contains("__same", F.col("__mark")), "left_semi")  # by id alone, as the groups are: texts are shuffled once
     order = F.struct(F.col(text).isNull(), F.col(text))
     return kept.groupBy("__id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("row")).select("row.*")

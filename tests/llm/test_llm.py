@@ -232,6 +232,12 @@ def test_keep_first_keeps_whole_rows(spark, rows):
     assert len(ids) == len(set(ids)) and set(ids) == want and kept[0].key == "x"
 
 
+def test_near_copies_dont_displace_texts_of_their_id(spark):
+    copy, own = "a " + " ".join(f"w{k}" for k in range(80)), "z " + " ".join(f"v{k}" for k in range(80))
+    kept = simhash.keep_first(frame(spark, [(1, copy, "en", "a"), (5, copy, "en", "a"), (5, own, "en", "a"), (5, own, "en", "a"), (None, own, "en", "a")])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, copy), (5, own)]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(a, a + 1) for a in range(100, 160)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(1, 1), (None, 2)]
