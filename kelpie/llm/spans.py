@@ -50,9 +50,14 @@ def apart_from(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
 
 
-def near(spans: Column, others: Column, within: int) -> Column:
-    """Interval join: spans with any other span whose gap to them is at most `within`."""
-    return F.filter(spans, lambda s: F.exists(others, lambda o: (s["start"] <= o["end"] + within) & (o["start"] <= s["end"] + within)))
+def near(spans: Column, others: Column, within: int, apart: bool = False) -> Column:
+    """Interval join: spans with any other span whose gap to them is at most `within`; apart: overlapping ones don't count."""
+
+    def meets(s: Column, o: Column) -> Column:
+        close = (s["start"] <= o["end"] + within) & (o["start"] <= s["end"] + within)
+        return close & ((o["end"] <= s["start"]) | (o["start"] >= s["end"])) if apart else close
+
+    return F.filter(spans, lambda s: F.exists(others, lambda o: meets(s, o)))
 
 
 def replaced(text: Column, spans: Column, by: str) -> Column:

@@ -335,6 +335,14 @@ def test_weak_parts_need_company(spark):
     assert clean[1] == texts[1] and weak not in clean[2] and clean[2] == "[SECRET] and [SECRET]"
 
 
+def test_parts_dont_complement_themselves(spark):
+    weak = "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MA"
+    url = f"see https://docs.example.org/{weak}/page for more"
+    texts = {1: url, 2: f"login: {weak}", 3: f"https://db.example.org {weak}"}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert clean == {1: url, 2: texts[2], 3: "https://db.example.org [SECRET]"}
+
+
 def test_segmentations_are_summed():
     r = random.Random(2)
     pieces = sorted({"".join(r.choice("▁abcé") for _ in range(r.randint(1, 4))) for _ in range(60)})
