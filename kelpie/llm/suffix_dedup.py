@@ -1,10 +1,18 @@
-"""Suffix-array deduplication by bucket-pointer refinement.
+"""Suffix-array deduplication by refined buckets of sampled suffixes.
+
+The method dealt is bucket-pointer refinement of all suffixes; what this does instead, and why, is
+below under "Method".
 
 A byte is removed if a string of LENGTH bytes that covers it also starts in a document with
 a smaller doc_id. Suffixes are put in buckets by their first bytes, and buckets are refined
-by sorting on the bucket identifiers of later offsets: the identifier of a longer prefix is
-made from those of two shorter prefixes at two offsets, again and again up to LENGTH
-(Refiner.ids). A bucket that lies in one document only is finished and never refined.
+by the identifiers of later offsets: the identifier of a longer prefix is made from those of
+two shorter prefixes at two offsets, again and again up to LENGTH (Refiner.ids). A bucket that
+lies in one document only is finished and never refined.
+
+Method: identifiers are hashes, not ranks of a global sort, and only sampled suffixes enter.
+Ranks of all suffixes would move each of them in each of the rounds (8, 16, 32, 50 bytes): some
+40 bytes of exchange for a byte of text, ten times the disk there is. What decides a removal is
+compared by 128 bits (two identifiers of different salts); 64 bits only decide what is looked at.
 
 Not every suffix is taken up. Of the q-grams of each LENGTH-byte window the one with the
 smallest hash is its anchor, so equal windows have their anchors at equal offsets:
@@ -19,8 +27,12 @@ Exchange: documents are dealt to batches by a hash of their id. In each step a b
 its distinct identifiers with the least and greatest value seen, packed as byte planes, to
 partitions of the identifier space; a partition sorts them and returns those with different
 values. An identifier is one entry a batch however many documents hold it, so no bucket is
-hot. Positions that a batch needs in the next step travel with it, so hashes are not made
-anew. Texts are shuffled once.
+hot. A blob has an entry at least, so blobs never outnumber entries, however large the input.
+Positions that a batch needs in the next step travel with it, so hashes are not made anew. Texts
+are shuffled once.
+
+n_long_spans and n_long_bytes tell removed runs of more than WORDS words, whole passages, from
+short phrases that many texts share.
 
 Defined cases: null texts are empty; rows with equal doc_id are one place in the order, so
 they aren't repeats of each other (each gets its row); a null doc_id comes last; an empty
@@ -39,9 +51,9 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, in_batches, key_of
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM, WORDS = 50, 24, 50
 #: Bytes of text of a batch and of a partition of identifiers, at least and at most; they grow
-#: with the input in between, so that the number of blobs exchanged doesn't grow with its square.
+#: with the input in between, so that blobs hold many entries for as long as memory allows.
 BATCH_BYTES, PART_BYTES = (4_000_000, 12_000_000), (2_000_000, 16_000_000)
 MANY_BATCHES, MANY_PARTS = 4_000, 2_000
 U = np.uint64
@@ -93,14 +105,15 @@ class Refiner:
             raise ValueError("the q-gram takes 8 bytes or more, and no more than the string")
         self.length, self.gram, self.left, self.pad = length, gram, length - gram, length + 8
 
-    def ids(self, t: Texts, at: np.ndarray, size: int) -> np.ndarray:
+    def ids(self, t: Texts, at: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         """Bucket identifiers of the first `size` bytes at each position: from identifiers of half the size (a power of two times 8) at two offsets."""
         if size <= 8:
-            return mixed(t.word[at], np.full(len(at), size, U)) if size == 8 else mixed(t.word[at] & U((1 << 8 * size) - 1), np.full(len(at), size, U))
+            word = t.word[at] if size == 8 else t.word[at] & U((1 << 8 * size) - 1)
+            return mixed(word ^ U(salt), np.full(len(at), size + salt, U))
         half = 8
         while half * 2 < size:
             half *= 2
-        return mixed(self.ids(t, at, half), self.ids(t, at + (size - half), half))
+        return mixed(self.ids(t, at, half, salt), self.ids(t, at + (size - half), half, salt))
 
     def anchors(self, t: Texts) -> np.ndarray:
         """Positions of the q-grams with the smallest hash of some window."""
@@ -131,11 +144,11 @@ class Refiner:
         m = min(len(out), len(greatest))
         return np.flatnonzero(out[:m] == greatest[:m])
 
-    def contexts(self, t: Texts, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def contexts(self, t: Texts, at: np.ndarray, doc: np.ndarray, salt: int = 0) -> np.ndarray:
         """Identifiers of all bytes of the windows that hold the q-gram at each position, ends of the text included."""
         before = np.minimum(at - t.start[doc], self.left).astype(U)
         behind = np.minimum(t.end[doc] - at, self.length).astype(U)
-        return mixed(mixed(self.ids(t, at - self.left, self.length), self.ids(t, at, self.length)), before * U(1 << 16) + behind)
+        return mixed(mixed(self.ids(t, at - self.left, self.length, salt), self.ids(t, at, self.length, salt)), before * U(1 << 16) + behind)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -169,6 +182,8 @@ def unpacked(blob: bytes, n_columns: int) -> list[np.ndarray]:
 SENT = "part int, batch int, kind int, blob binary"
 NAMES = ["part", "batch", "kind", "blob"]
 CARRY = 9
+#: Salt of the second identifier of the kinds of entries whose equality removes text.
+SALT, SURE = 0x5851F42D4C957F2D, (3, 4)
 
 
 class Sent:
@@ -177,17 +192,23 @@ class Sent:
     def __init__(self, batch: int, parts: int) -> None:
         self.batch, self.parts, self.rows = batch, parts, []
 
-    def entries(self, kind: int, ids: np.ndarray, values: np.ndarray) -> None:
+    def entries(self, kind: int, ids: np.ndarray, values: np.ndarray, more: np.ndarray | None = None) -> None:
+        """more: second identifiers."""
         if not len(ids):
             return
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids, kind="stable") if more is None else np.lexsort((more, ids))
         ids, values = ids[order], values[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        new = ids[1:] != ids[:-1]
+        if more is not None:
+            more = more[order]
+            new |= more[1:] != more[:-1]
+        first = np.flatnonzero(np.r_[True, new])
         low, high, ids = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first), ids[first]
+        rest = [] if more is None else [more[first]]
         to = ((ids >> U(32)) * U(self.parts)) >> U(32)
         cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
-            self.rows.append((int(to[a]), self.batch, kind, packed(np.diff(ids[a:b], prepend=U(0)), low[a:b], high[a:b] - low[a:b])))
+            self.rows.append((int(to[a]), self.batch, kind, packed(np.diff(ids[a:b], prepend=U(0)), low[a:b], high[a:b] - low[a:b], *[x[a:b] for x in rest])))
 
     def carry(self, slot: int, *columns: np.ndarray) -> None:
         self.rows.append((-1 - self.batch, self.batch, CARRY + slot, packed(*[np.asarray(c).astype(U) for c in columns])))
@@ -209,12 +230,17 @@ def meet(key: tuple, table: pa.Table) -> pa.Table:
     out = []
     for kind in sorted({r[2] for r in rows}):
         own = [r for r in rows if r[2] == kind]
-        blobs = [unpacked(r[3], 3) for r in own]
+        blobs = [unpacked(r[3], 3 + (kind in SURE)) for r in own]
         ids = np.concatenate([np.cumsum(b[0], dtype=U) for b in blobs])
         low, high = np.concatenate([b[1] for b in blobs]), np.concatenate([b[1] + b[2] for b in blobs])
-        order = np.argsort(ids, kind="stable")
+        more = np.concatenate([b[3] for b in blobs]) if kind in SURE else np.zeros(0, U)
+        order = np.lexsort((more, ids)) if kind in SURE else np.argsort(ids, kind="stable")
         s = ids[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        new = s[1:] != s[:-1]
+        if kind in SURE:
+            m = more[order]
+            new |= m[1:] != m[:-1]
+        first = np.flatnonzero(np.r_[True, new])
         least, most = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
         several = np.zeros(len(ids), bool)
         several[order] = np.repeat(least < most, np.diff(np.r_[first, len(s)]))
@@ -225,7 +251,7 @@ def meet(key: tuple, table: pa.Table) -> pa.Table:
             e = slice(at, at + len(b[0]))
             keep, at = several[e], at + len(b[0])
             if keep.any():
-                out.append((r[0], r[1], kind, packed(np.diff(ids[e][keep], prepend=U(0)), floor[e][keep])))
+                out.append((r[0], r[1], kind, packed(np.diff(ids[e][keep], prepend=U(0)), floor[e][keep], *[x[keep] for x in b[3:]])))
     return rows_table(out)
 
 
@@ -235,16 +261,27 @@ class Returned:
     def __init__(self, table: pa.Table) -> None:
         self.rows = list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()))
 
-    def found(self, kind: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, kind: int, ids: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Which of the identifiers came back, and their least values."""
-        blobs = [unpacked(b, 2) for k, b in self.rows if k == kind]
+        blobs = [unpacked(b, 2 + (kind in SURE)) for k, b in self.rows if k == kind]
         if not blobs or not len(ids):
             return np.zeros(len(ids), bool), np.zeros(len(ids), U)
         own, low = np.concatenate([np.cumsum(b[0], dtype=U) for b in blobs]), np.concatenate([b[1] for b in blobs])
-        order = np.argsort(own)
+        order = np.argsort(own, kind="stable")
         own, low = own[order], low[order]
-        at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
-        return own[at] == ids, low[at]
+        last = len(own) - 1
+        at = np.minimum(np.searchsorted(own, ids), last)
+        same = own[at] == ids
+        if more is not None:
+            second = np.concatenate([b[2] for b in blobs])[order]
+            while True:  # identifiers that are equal in the first 64 bits only stand side by side
+                step = same & (second[at] != more) & (at < last)
+                step &= own[np.minimum(at + 1, last)] == ids
+                if not step.any():
+                    break
+                at = at + step
+            same &= second[at] == more
+        return same, low[at]
 
     def carried(self, slot: int, n_columns: int) -> list[np.ndarray]:
         for k, b in self.rows:
@@ -269,8 +306,16 @@ def stretched(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum())) if len(start) else np.zeros(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int | None = None, part_bytes: int | None = None, with_bytes: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs; with_bytes: and kept, the bytes left."""
+def words_in(t: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words that lie in the bytes from start to end, in part at least."""
+    blank = np.isin(np.frombuffer(t.data, np.uint8), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+    begins = np.r_[False, blank[:-1] & ~blank[1:]]
+    count = np.r_[0, np.cumsum(begins)]
+    return count[end] - count[start] + (~blank[start] & ~begins[start])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int | None = None, part_bytes: int | None = None, with_bytes: bool = False, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_long_spans, n_long_bytes) of each row of docs; with_bytes: and kept, the bytes left."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id).alias("key"), F.col(text).alias("text"))
     total = int(own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     between = lambda x, least, most: max(least, min(most, x))
@@ -306,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         context = refine.contexts(t, at, doc)
         sent = Sent(batch_of(left), parts)
         sent.entries(2, ids, context)
-        sent.entries(3, context, values(t, doc))
+        sent.entries(3, context, values(t, doc), refine.contexts(t, at, doc, SALT))
         sent.carry(0, np.diff(at, prepend=0))
         return sent.table()
 
@@ -316,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         doc = t.doc(at)
         context = refine.contexts(t, at, doc)
         mixed_bucket, _ = back.found(2, refine.ids(t, at, gram))
-        several, low = back.found(3, context)
+        several, low = back.found(3, context, refine.contexts(t, at, doc, SALT))
         earlier = several & (low < values(t, doc))
         # the windows that hold the q-gram
         first, last = np.maximum(at - refine.left, t.start[doc]), np.minimum(at, t.end[doc] - length)
@@ -326,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         open_ = mixed_bucket & ~earlier
         runs = union(first[open_], last[open_] + 1)
         windows = stretched(*runs)
-        sent.entries(4, refine.ids(t, windows, length), values(t, t.doc(windows)))
+        sent.entries(4, refine.ids(t, windows, length), values(t, t.doc(windows)), refine.ids(t, windows, length, SALT))
         sent.carry(1, np.diff(runs[0], prepend=0), runs[1] - runs[0])
         return sent.table()
 
@@ -336,12 +381,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         start, end = np.cumsum(steps), np.cumsum(steps) + sizes
         steps, sizes = back.carried(1, 2)
         windows = stretched(np.cumsum(steps), np.cumsum(steps) + sizes)
-        several, low = back.found(4, refine.ids(t, windows, length))
+        several, low = back.found(4, refine.ids(t, windows, length), refine.ids(t, windows, length, SALT))
         hit = windows[several & (low < values(t, t.doc(windows)))]
         start, end = union(np.r_[start, hit], np.r_[end, hit + length])
         doc = t.doc(start)
         n = len(t.size)
         removed, spans = np.bincount(doc, end - start, n).astype(np.int64), np.bincount(doc, minlength=n)
+        long_ = words_in(t, start, end) > words
+        n_long, long_bytes = np.bincount(doc[long_], minlength=n), np.bincount(doc[long_], (end - start)[long_], n).astype(np.int64)
         bounds = np.searchsorted(doc, np.arange(n + 1))
         digests, kept = [], []
         view = memoryview(t.data)
@@ -355,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
             digests.append(hashlib.sha256(rest).hexdigest())
             if with_bytes:
                 kept.append(rest)
-        out = {"doc_id": left.column("doc_id"), "n_bytes": t.size, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept_sha256": pa.array(digests, pa.string())}
+        out = {"doc_id": left.column("doc_id"), "n_bytes": t.size, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept_sha256": pa.array(digests, pa.string()), "n_long_spans": n_long.astype(np.int64), "n_long_bytes": long_bytes}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_bytes else {}))
 
     def returned(sent: DataFrame) -> DataFrame:
@@ -364,7 +411,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     step = rows.groupBy("__batch").applyInArrow(bucket, SENT)
     for function in (settle, split):
         step = rows.groupBy("__batch").cogroup(returned(step)).applyInArrow(function, SENT)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_long_spans long, n_long_bytes long" + ", kept binary" * with_bytes
     return rows.groupBy("__batch").cogroup(returned(step)).applyInArrow(apply, schema)
 
 
@@ -375,7 +422,9 @@ hits AS (SELECT rn, i FROM (SELECT *, min(k) OVER (PARTITION BY w) AS first FROM
 gaps AS (SELECT rn, i, lag(i) OVER (PARTITION BY rn ORDER BY i) AS p FROM hits),
 runs AS (SELECT rn, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT rn, i, sum(CASE WHEN p IS NULL OR i > p + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rn ORDER BY i) AS g FROM gaps) GROUP BY rn, g),
 kept AS (SELECT rn, a, b, coalesce(lag(b) OVER (PARTITION BY rn ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY rn ORDER BY a) IS NULL AS last FROM runs),
+counted AS (SELECT runs.rn, b - a AS n, len(list_filter(string_split(regexp_replace(regexp_replace(substr(x, 2 * a + 1, 2 * (b - a)), '(..)', '\1 ', 'g'), '((20|09|0A|0B|0C|0D) )+', '_', 'g'), '_'), lambda s: s <> '')) AS words FROM runs JOIN d USING (rn)),
+longs AS (SELECT rn, count(*) AS n, sum(n)::BIGINT AS bytes FROM counted WHERE words > {WORDS} GROUP BY rn),
 texts AS (SELECT kept.rn, sum(b - a)::BIGINT AS n, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS x FROM kept JOIN d USING (rn) GROUP BY kept.rn)
-SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(t.n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t.x, d.x))) AS kept_sha256
-FROM d LEFT JOIN texts t USING (rn)
+SELECT d.doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(t.n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t.x, d.x))) AS kept_sha256, coalesce(longs.n, 0)::BIGINT AS n_long_spans, coalesce(bytes, 0)::BIGINT AS n_long_bytes
+FROM d LEFT JOIN texts t USING (rn) LEFT JOIN longs USING (rn)
 """
