@@ -39,19 +39,13 @@ def op4_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.replicate(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("__copy").alias("copy"), "source", F.round("__rate", 9).alias("rate"), F.col("__order").alias("shuffle_key"), "text")
+    drawn = mixing.draws(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return drawn.select("row.doc_id", "copy", "row.source", F.round("rate", 9).alias("rate"), F.col("order").alias("shuffle_key"), "row.text")
 
 
 OP5_SQL = f"""
-WITH units AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS units FROM documents GROUP BY source),
-rates AS (SELECT source, CASE WHEN units > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM units) * (SELECT sum(units) FROM units)::DOUBLE / units ELSE 1.0 END AS rate FROM units),
-tops AS (SELECT source, rate, (ceil(rate + 12 * sqrt(rate)) + 40)::INT AS top FROM rates),
-probs AS (SELECT source, rate, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p FROM (SELECT source, rate, unnest(range(0, top + 1)) AS j FROM tops)),
-cdf AS (SELECT source, rate, list(c ORDER BY j) AS cdf FROM (SELECT source, rate, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM probs) GROUP BY source, rate),
-drawn AS (SELECT d.doc_id, d.source, d.text, rate, len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5('{mixing.SEED}|count|' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0)) AS n
-  FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source)
-SELECT doc_id, copy::INT AS copy, source, round(rate, 9) AS rate, md5('{mixing.SEED}|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key, text
+WITH {mixing.counts_sql()}
+SELECT doc_id, copy::BIGINT AS copy, source, round(rate, 9) AS rate, md5('{mixing.SEED}|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key, text
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM drawn)
 """
 
