@@ -1,7 +1,8 @@
 """Helpers shared by the training-text operators.
 
-Every operator first selects the columns it needs under its own names, so extra columns
-of the input (whatever they are called) can't clash with working columns.
+Every operator first selects the columns it needs under its own names; those that return all
+columns of the input carry them as one struct. So extra columns of the input, whatever they are
+called, can't clash with working columns.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="kelpie-")  # only without a cluster's setting, as in tests
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="kelpie-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
