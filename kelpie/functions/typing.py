@@ -11,6 +11,7 @@ from .dialect import DIGIT as D
 from .dialect import NOT_SPACE, SPACE, WORD
 from .taxonomy import GENERIC, PERSON
 
+# Prefixes of numbers; the shapes below, and their order, are fixed as well.
 PREFIXES = {"DL": "driver_license", "MRN": "medical_record", "EMP": "employee_id", "POL": "health_insurance", "INS": "health_insurance", "MBR": "health_insurance"}
 LETTERS = r"[A-Za-zÀ-ÿऀ-ॿ஀-௿]"
 
