@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import between, bound, cut, rebuilt
+
 BLOCK = 64
 
 
@@ -43,26 +45,14 @@ def replacement(action: str, value: Column, kind: Column, key: bytes | None = No
 
 def rewritten(text: Column, findings: Column, action: str, key: bytes | None = None) -> Column:
     """The text with each of the ordered, non-overlapping findings replaced, in one pass."""
-
-    def step(state: Column, d: Column) -> Column:
-        value = F.substring(text, d["start"] + 1, d["end"] - d["start"])
-        gap = F.substring(text, state["at"] + 1, d["start"] - state["at"])
-        return F.struct(d["end"].cast("int").alias("at"), F.concat(state["out"], gap, replacement(action, value, d["type"], key)).alias("out"))
-
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.greatest(F.length(text) - state["at"], F.lit(0))))
-
-    return F.aggregate(findings, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
+    return rebuilt(text, findings, lambda value, d: replacement(action, value, d["type"], key))
 
 
 def vault(text: Column, findings: Column, key: bytes) -> Column:
     """array<struct<token,value>> of the findings; keep it apart from results."""
-
-    def entry(d: Column) -> Column:
-        value = F.substring(text, d["start"] + 1, d["end"] - d["start"])
-        return F.struct(token(key, value, d["type"]).alias("token"), value.alias("value"))
-
-    return F.array_distinct(F.transform(findings, entry))
+    pairs = bound(F.struct(cut(text).alias("pieces"), findings.alias("found")), lambda known: F.transform(known["found"], lambda d: bound(between(known["pieces"], d["start"], d["end"]), lambda value: F.concat(token(key, value, d["type"]), value))))
+    # distinct as strings, which are hashed; a token ends at its only >
+    return F.transform(F.array_distinct(pairs), lambda x: F.struct(F.concat(F.substring_index(x, ">", 1), F.lit(">")).alias("token"), F.substring(x, F.locate(">", x) + 1, F.length(x)).alias("value")))
 
 
 def detokenized(text: Column, entries: Column) -> Column:

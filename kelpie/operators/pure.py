@@ -7,12 +7,11 @@ import hmac
 import re
 
 from ..functions.taxonomy import CATEGORY_OF
-from .spans import FIELDS, NO_SECRETS
+from ..functions.dialect import python
+from .spans import CARD, EMAIL, FIELDS, LABEL, NO_SECRETS, SECRET
 
-EMAIL = re.compile(r"\b[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}\b")
-CARD = re.compile(r"\b(?:\d[ -]?){12,18}\d\b")
-SECRET = re.compile(r"\b(?:sk-[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
-LABELS = [(re.compile(rf"\b(?:{label})\b\s*(?::|=|is|-)?\s+([^\s,;]+(?:[ -]\d{{2,}}){{0,3}})", re.I), kind) for label, kind in FIELDS]
+SHAPES = [(re.compile(python(shape)), kind) for shape, kind in ((SECRET, "secret"), (EMAIL, "email"), (CARD, "payment_card"))]
+LABELS = [(re.compile(python(LABEL.format(label=label)), re.I), kind) for label, kind in FIELDS]
 
 
 def luhn(digits: str) -> bool:
@@ -24,16 +23,16 @@ def find_all(text: str | None) -> list[tuple[int, int, str]]:
     """Resolved (start, end, type) of a text."""
     found: list[tuple[int, int, int, int, str]] = []
     add = lambda a, b, kind: found.append((a, a - b, len(found), b, kind))
-    for rx, kind in ((SECRET, "secret"), (EMAIL, "email"), (CARD, "payment_card")):
+    for rx, kind in SHAPES:
         for m in rx.finditer(text or ""):
             if kind != "payment_card" or luhn(re.sub(r"\D", "", m[0])):
                 add(*m.span(), kind)
     for rx, kind in LABELS:
         for m in rx.finditer(text or ""):
-            value = m[1].rstrip(".:!?'\")]}>")
+            value = m[2].rstrip(".:!?'\")]}>")
             good = len(value) >= 6 and value.lower() not in NO_SECRETS if CATEGORY_OF.get(kind) == "secret" else sum(map(str.isdigit, value)) >= 4
             if good:
-                add(m.start(1), m.start(1) + len(value), kind)
+                add(m.start(2), m.start(2) + len(value), kind)
     kept: list[tuple[int, int, str]] = []
     for a, _, _, b, kind in sorted(found):
         if not kept or a >= kept[-1][1]:

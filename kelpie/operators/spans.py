@@ -8,17 +8,19 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.dialect import BOUNDARY, DIGIT, SPACE, WORD
+from ..functions.arrays import bound, folded
+from ..functions.dialect import DIGIT, java
 from ..functions.taxonomy import CATEGORY_OF
 from ..functions.typing import luhn_valid
 
 DETECTION = "struct<start:int,end:int,type:string,confidence:double,detector:string,category:string,seq:int>"
 SPANS = "array<struct<start:int,end:int>>"
 
-# Shapes that prove themselves.
-SECRET = rf"(?<!{WORD})(?:sk-[A-Za-z0-9]{{16,}}|ghp_[A-Za-z0-9]{{20,}}|AKIA[0-9A-Z]{{16}}|eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}})"
-EMAIL = rf"{BOUNDARY}[\p{{L}}\p{{N}}_.%+-]++@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}{BOUNDARY}"
-CARD = rf"(?<!{WORD})(?:{DIGIT}[ -]?){{12,18}}{DIGIT}(?!{WORD})"
+# Shapes that prove themselves, and the value after a label, in classes that functions.dialect writes out for an engine.
+SECRET = r"(?<![<w>])(?:sk-[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
+EMAIL = r"<edge>[<w>.%+-]++@[<w>.-]+\.[A-Za-z]{2,}<edge>"
+CARD = r"(?<![<w>])(?:<digit>[ -]?){12,18}<digit>(?![<w>])"
+LABEL = r"(<edge>(?:{label})<edge><space>*(?::|=|is|-)?<space>+)([<nonspace>,;]+(?:[ -]<digit>{{2,}}){{0,3}})"
 # Labels whose value is a finding, in the order in which they are tried.
 FIELDS = [
     (r"a/?c|acct|account(?: number| no\.?)?|bank account", "bank_account"),
@@ -60,18 +62,23 @@ def find_spans(text: Column, pattern: str, gate: Column, values: bool = False) -
     The gate is a cheap test that every text with a match passes. values: the pattern has two groups, a prefix and
     the value that follows it up to the match's end, and the spans are those of the value.
     """
-    gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if values else whole
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    kind = "struct<start:int,end:int,value:string>"
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    facts = [F.split(text, pattern, -1).alias("gaps"), whole.alias("whole")]
+    facts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("values")] if values else []
 
-    def step(state: Column, part: Column) -> Column:
-        end = (state["at"] + F.length(part["gap"]) + F.length(part["whole"])).cast("int")
-        span = F.struct((end - F.length(part["value"])).cast("int").alias("start"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
+    def step(at: Column, part: Column) -> tuple[Column, Column, None]:
+        end = (at + F.length(part["gap"]) + F.length(part["whole"])).cast("int")
+        value = part["value" if values else "whole"]
+        return end, F.struct((end - F.length(value)).cast("int").alias("start"), end.alias("end"), value.alias("value")), None
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(gate & (F.size(whole) > 0), found).otherwise(empty)
+    def body(known: Column) -> Column:
+        parts = [F.slice(known["gaps"], 1, F.size(known["whole"])).alias("gap"), known["whole"].alias("whole")]
+        parts += [known["values"].alias("value")] if values else []
+        found = folded(F.arrays_zip(*parts), F.lit(0).cast("int"), kind, step)
+        return F.when(F.size(known["whole"]) > 0, found).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return F.when(gate, bound(F.struct(*facts), body)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def as_detections(spans: Column, kind: str, detector: str, seq: int) -> Column:
@@ -83,20 +90,20 @@ def as_detections(spans: Column, kind: str, detector: str, seq: int) -> Column:
 
 def secrets(text: Column) -> Column:
     gate = text.contains("sk-") | text.contains("ghp_") | text.contains("AKIA") | text.contains("eyJ")
-    return as_detections(find_spans(text, SECRET, gate), "secret", "regex", 100)
+    return as_detections(find_spans(text, java(SECRET), gate), "secret", "regex", 100)
 
 
 def emails(text: Column) -> Column:
-    return as_detections(find_spans(text, EMAIL, text.contains("@")), "email", "regex", 101)
+    return as_detections(find_spans(text, java(EMAIL), text.contains("@")), "email", "regex", 101)
 
 
 def cards(text: Column) -> Column:
-    found = find_spans(text, CARD, text.rlike(DIGIT) & text.rlike(rf"{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}"))
+    found = find_spans(text, java(CARD), text.rlike(DIGIT) & text.rlike(rf"{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}[ -]?{DIGIT}"))
     return as_detections(F.filter(found, lambda s: luhn_valid(s["value"])), "payment_card", "regex", 102)
 
 
 def field_pattern(label: str) -> str:
-    return rf"(?iu)({BOUNDARY}(?:{label}){BOUNDARY}{SPACE}*(?::|=|is|-)?{SPACE}+)([^\s\x1c-\x1f\x85\p{{Z}},;]+(?:[ -]{DIGIT}{{2,}}){{0,3}})"
+    return "(?iu)" + java(LABEL.format(label=label))
 
 
 def fields(text: Column, labels: list[tuple[str, str]] | None = None) -> Column:
@@ -150,12 +157,11 @@ def resolved(found: Column) -> Column:
     """Detections by start (custom first, then longer, then earlier stage), each kept unless it starts inside the last kept one."""
     keyed = F.transform(found, lambda d: F.struct(d["start"].alias("k1"), F.when(d["detector"] == "custom-regex", 0).otherwise(1).alias("k2"), (d["start"] - d["end"]).alias("k3"), d["seq"].alias("k4"), d.alias("d")))
 
-    def step(state: Column, x: Column) -> Column:
-        fits = x["d"]["start"] >= state["end"]
-        return F.when(fits, F.struct(x["d"]["end"].alias("end"), F.array_append(state["kept"], x["d"]).alias("kept"))).otherwise(state)
+    def step(end: Column, x: Column) -> tuple[Column, Column, Column]:
+        fits = x["d"]["start"] >= end
+        return F.when(fits, x["d"]["end"]).otherwise(end), x["d"], fits
 
-    start = F.struct(F.lit(0).cast("int").alias("end"), F.array().cast(f"array<{DETECTION}>").alias("kept"))
-    return F.aggregate(F.array_sort(keyed), start, step, lambda s: s["kept"])
+    return folded(F.array_sort(keyed), F.lit(0).cast("int"), DETECTION, step)
 
 
 def context(text: Column, span: Column, chars: int = 120) -> Column:
@@ -165,11 +171,16 @@ def context(text: Column, span: Column, chars: int = 120) -> Column:
 
 
 def occurrences(text: Column, value: Column) -> Column:
-    """array<struct<start,end>> of all occurrences of a value in any case, overlapping ones too; none for an empty value."""
+    """array<struct<start,end>> of all occurrences of a value in any case, overlapping ones too; none for an empty value.
+
+    The text is split before each occurrence, so that the lengths of the parts are the places.
+    """
     low, v = F.lower(text), F.lower(value)
-    last = F.length(low) - F.length(v)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(low, i + 1, F.length(v)) == v)
-    hit = (F.length(v) > 0) & (last >= 0) & low.contains(v)
-    return F.when(hit, F.transform(starts, lambda i: F.struct(i.cast("int").alias("start"), (i + F.length(value)).cast("int").alias("end")))).otherwise(F.array().cast(SPANS))
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E)"))
 
+    def step(at: Column, part: Column) -> tuple[Column, Column, Column]:
+        span = F.struct(at.alias("start"), (at + F.length(value)).cast("int").alias("end"))
+        return (at + F.length(part)).cast("int"), span, (at > 0) | low.startswith(v)
 
+    starts = folded(F.split(low, quoted, -1), F.lit(0).cast("int"), "struct<start:int,end:int>", step)
+    return F.when((F.length(v) > 0) & low.contains(v), starts).otherwise(F.array().cast(SPANS))
