@@ -138,40 +138,61 @@ def links(distinct: DataFrame, distance: int = DISTANCE, dense: int = DENSE, man
     widths = [64 // parts + (i < 64 % parts) for i in range(parts)]
     entries = index_entries(distinct, widths, distance // parts)
 
+    def alone(fp: np.ndarray) -> pa.RecordBatch:
+        own = pa.array(np.unique(fp))
+        return pa.RecordBatch.from_arrays([own, pa.nulls(len(own), pa.int64())], names=["a", "b"])
+
+    def compared(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The links of whole runs."""
+        slot, probe, fp = map(np.concatenate, zip(*parts))
+        if not len(slot):
+            return
+        first = np.r_[True, slot[1:] != slot[:-1]]
+        run_of = np.cumsum(first) - 1
+        begin, table = np.flatnonzero(first), np.bincount(run_of, weights=probe == 0).astype(np.int64)
+        wide = (table > dense)[run_of]
+        if wide.any():
+            yield alone(fp[wide])
+        keep = ~wide & (table[run_of] > 0)
+        shift = np.cumsum(~keep)[begin] - (~keep)[begin]
+        for a, b in verify(fp[keep].view(np.uint64), (begin - shift)[run_of][keep], table[run_of][keep], distance):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            rest: list[tuple[np.ndarray, ...]] = []
-            size = 0
-            for batch in rows:
-                if not batch.num_rows:
+        rest: list[tuple[np.ndarray, ...]] = []  # whole runs, and the one that may go on
+        size, open_slot, entered, full = 0, None, 0, False
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            slot, probe, fp = (np.asarray(batch.column(i)) for i in range(3))
+            if full:  # the open run is dense: its rows are passed on as they come
+                end = int(np.searchsorted(slot, open_slot, side="right"))
+                if end:
+                    yield alone(fp[:end])
+                slot, probe, fp, full = slot[end:], probe[end:], fp[end:], end == len(slot)
+                if full:
                     continue
-                slot, probe, fp = (np.asarray(batch.column(i)) for i in range(3))
-                cut = int(np.searchsorted(slot, slot[-1]))  # the last run may go on
+                open_slot = None
+            cut = int(np.searchsorted(slot, slot[-1]))
+            if slot[-1] != open_slot:
                 rest.append((slot[:cut], probe[:cut], fp[:cut]))
                 size += cut
-                if cut and size > 200_000:
-                    yield tuple(map(np.concatenate, zip(*rest)))
+                if size > 200_000:
+                    yield from compared(rest)
                     rest, size = [], 0
-                rest.append((slot[cut:], probe[cut:], fp[cut:]))
-                size += len(slot) - cut
-            if rest:
-                yield tuple(map(np.concatenate, zip(*rest)))
-
-        for slot, probe, fp in blocks():
-            if not len(slot):
-                continue
-            first = np.r_[True, slot[1:] != slot[:-1]]
-            run_of = np.cumsum(first) - 1
-            begin, table = np.flatnonzero(first), np.bincount(run_of, weights=probe == 0).astype(np.int64)
-            full = table > dense
-            wide = full[run_of]
-            if wide.any():
-                alone = pa.array(np.unique(fp[wide]))
-                yield pa.RecordBatch.from_arrays([alone, pa.nulls(len(alone), pa.int64())], names=["a", "b"])
-            keep = ~wide & (table[run_of] > 0)
-            shift = np.cumsum(~keep)[begin] - (~keep)[begin]
-            for a, b in verify(fp[keep].view(np.uint64), (begin - shift)[run_of][keep], table[run_of][keep], distance):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                open_slot, entered = slot[-1], 0
+            else:
+                cut = 0
+            entered += int((probe[cut:] == 0).sum())
+            rest.append((slot[cut:], probe[cut:], fp[cut:]))
+            size += len(slot) - cut
+            if entered > dense:
+                for s, _, f in rest:
+                    yield alone(f[s == open_slot])
+                yield from compared([(s[s != open_slot], p[s != open_slot], f[s != open_slot]) for s, p, f in rest])
+                rest, size, full = [], 0, True
+        if rest:
+            yield from compared(rest)
 
     found = saved(entries.repartition("slot").sortWithinPartitions("slot", "probe").mapInArrow(run, "a long, b long"))
     # each pair within the distance shares a value within half of it; all fingerprints at such a value go to its least one
@@ -192,7 +213,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, dense: int = DENS
     least = prints.groupBy("fp").agg(F.min("key").alias("low"))
     roots = components(links(least.select("fp"), distance, dense, many))
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "of")
+    # the components' smallest ids are written down, so that the join has two plain sides and Spark can split a large component
+    lows = saved(rooted.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "of"))
     named = rooted.join(lows, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component")
     digits: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, F.col("fp") == F.col("print")).select("doc_id", digits.alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"), F.col("component").alias("component_key"), *([mark] if mark else []))
@@ -205,10 +227,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     a smaller id's the smallest stays. A row without an id is known by its text, after all ids
     below 2^62.
     """
-    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     by_text = F.shiftrightunsigned(hashed, 2).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("__mark", hashed).withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), by_text))
-    first = near_duplicates(named, distance, doc_id="__id", text=text, mark="__mark").where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.collect_set("__mark").alias("__same"))
-    kept = named.join(first, (F.col("__id") == F.col("__first")) & F.array_contains("__same", F.col("__mark")), "left_semi")  # by id alone, as the groups are: texts are shuffled once
-    order = F.struct(F.col(text).isNull(), F.col(text))
-    return kept.groupBy("__id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("row")).select("row.*")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    named = own.withColumn("mark", hashed).withColumn("id", F.coalesce(F.col("id"), by_text))
+    first = near_duplicates(named, distance, doc_id="id", text="text", mark="mark").where("doc_id = component_id").groupBy(F.col("doc_id").alias("first")).agg(F.collect_set("mark").alias("same"))
+    kept = named.join(first, (F.col("id") == F.col("first")) & F.array_contains("same", F.col("mark")), "left_semi")  # by id alone, as the groups are: texts are shuffled once
+    order = F.struct(F.col("text").isNull(), F.col("text"))
+    return kept.groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
