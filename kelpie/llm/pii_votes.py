@@ -97,19 +97,17 @@ def gazetteer(kind: str, v: Column) -> Column:
     return F.lit(0)
 
 
-def candidates(text: Column, spans: Column, kind: str) -> Column:
-    """Spans with the votes and the shape of their surroundings."""
+def candidates(spans: Column, kind: str) -> Column:
+    """Spans (with what is around them) with the votes and the shape of their surroundings."""
     speaks = FOR[LIKE.get(kind, kind)]
 
     def judged(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - BEFORE, F.lit(0))
-        before = F.lower(F.substring(text, from_ + 1, s["start"] - from_))
-        v = s["value"]
+        before, v = F.lower(s["before"]), s["value"]
         return F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
             F.lit(1 if kind in KINDS[:4] else 0).alias("v0"), structure(kind, v).alias("v1"), gazetteer(kind, v).alias("v2"),
             F.when(before.rlike(speaks), 1).otherwise(0).alias("v3"), F.when(before.rlike(AGAINST), -1).otherwise(0).alias("v4"),
-            before.rlike(r"[a-z0-9]$").alias("glued"), F.coalesce(F.substring(text, s["end"] + 1, F.lit(1)).rlike(r"[A-Za-z0-9]"), F.lit(False)).alias("runs_on"),
+            before.rlike(r"[a-z0-9]$").alias("glued"), s["after"].rlike(r"[A-Za-z0-9]").alias("runs_on"),
             v.rlike(r"[\x20()-]").alias("parted"),
         )
 
@@ -119,14 +117,14 @@ def candidates(text: Column, spans: Column, kind: str) -> Column:
 def base_spans(docs: DataFrame, text: Column) -> DataFrame:
     """docs with __email, __ip, __card, __phone and the looser __weak_phone, __weak_card, __weak_ip, __ssn."""
     numbers = text.rlike("[0-9]")
-    out = docs.withColumn("__numbers", numbers).withColumn("__email", found(text, EMAIL, text.contains("@")))
+    out = docs.withColumn("__numbers", numbers).withColumn("__email", found(text, EMAIL, text.contains("@"), BEFORE))
     has = F.col("__numbers")
-    ip = F.filter(found(text, IP, has & text.rlike(r"[0-9]\.[0-9]")), lambda s: F.forall(F.split(s["value"], r"\."), lambda p: p.rlike(BYTE)))
-    phone = F.filter(found(text, PHONE, has & text.contains("+")), lambda s: F.length(digits(s["value"])).between(9, 15))
-    out = out.withColumn("__ip", ip).withColumn("__cards", found(text, CARD, has)).withColumn("__phone", phone)
+    ip = F.filter(found(text, IP, has & text.rlike(r"[0-9]\.[0-9]"), BEFORE), lambda s: F.forall(F.split(s["value"], r"\."), lambda p: p.rlike(BYTE)))
+    phone = F.filter(found(text, PHONE, has & text.contains("+"), BEFORE), lambda s: F.length(digits(s["value"])).between(9, 15))
+    out = out.withColumn("__ip", ip).withColumn("__cards", found(text, CARD, has, BEFORE)).withColumn("__phone", phone)
     passes = lambda s: F.coalesce(F.call_function("luhn_check", digits(s["value"])), F.lit(False))
     out = out.withColumn("__card", F.filter("__cards", passes)).withColumn("__weak_card", F.filter("__cards", lambda s: ~passes(s)))
-    loose = [("__weak_phone", found(text, WEAK_PHONE, has)), ("__weak_ip", found(text, WEAK_IP, has & text.contains(":"))), ("__ssn", found(text, SSN, has & text.contains("-")))]
+    loose = [("__weak_phone", found(text, WEAK_PHONE, has, BEFORE)), ("__weak_ip", found(text, WEAK_IP, has & text.contains(":"), BEFORE)), ("__ssn", found(text, SSN, has & text.contains("-"), BEFORE))]
     return reduce(lambda d, x: d.withColumn(*x), loose, out).drop("__cards", "__numbers")
 
 
@@ -196,7 +194,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[s
     """The final classifier's weights, from the candidates of all texts."""
     own = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
     all_of = base_spans(own, F.col("text"))
-    every = F.concat(*[candidates(F.col("text"), F.col(f"__{k}"), k) for k in KINDS])
+    every = F.concat(*[candidates(F.col(f"__{k}"), k) for k in KINDS])
     counted = all_of.select(F.explode(every).alias("c")).select("c.*").groupBy("kind", *VOTES, *SHAPES).agg(F.count("*").alias("n"))
     patterns = sorted((r.asDict() for r in counted.collect()), key=lambda p: (p["kind"], *[p[v] for v in VOTES], *[p[s] for s in SHAPES]))
     if not patterns:
@@ -215,7 +213,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: d
     added = []
     for i, k in enumerate(KINDS[4:]):
         if f"kind={k}" in weights:
-            good = F.filter(candidates(F.col("text"), F.col(f"__{k}"), k), lambda c: score(weights, c) > 0)
+            good = F.filter(candidates(F.col(f"__{k}"), k), lambda c: score(weights, c) > 0)
             added.append(marked(apart_from(good, F.col("__base")), k, 4 + i, by_kind=True))
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     spans = ordered(F.col("__base"), *added) if added else F.col("__base")

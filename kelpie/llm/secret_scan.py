@@ -12,9 +12,8 @@ All is computed inside each row, so nothing is shuffled.
 
 Defined cases: a null or empty text has no spans (its digest is that of no bytes); equal
 starts are ordered by kind; repeated rows each get their row; an empty table gives an empty
-result. `scan` reads only id and text; `redact` keeps all columns. For `scan`, as for its SQL,
-parts that overlap are near each other, so a part can complement itself (a long mixed path of a
-URL is a secret near an endpoint); `redact` asks for complements that don't overlap the part.
+result. Parts that overlap don't complement each other (a long mixed path of a URL is no secret
+near an endpoint). `scan` reads only id and text; `redact` keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,8 +36,8 @@ ENDPOINT = r"""(?:https?|ftps?|sftp|s3|amqps?|mysql|postgres(?:ql)?|mongodb|redi
 KINDS = ["assign", "access", "hex", "identifier", "secret", "endpoint"]
 
 
-def spans_of(docs: DataFrame, text: Column, apart: bool = False) -> DataFrame:
-    """docs with __base and __all: arrays of structs (k1, k2, kind, start, end), ordered. apart: parts don't complement parts they overlap."""
+def spans_of(docs: DataFrame, text: Column) -> DataFrame:
+    """docs, whose columns the caller has named, with __base and __all: arrays of structs (k1, k2, kind, start, end), ordered."""
     pairs = text.contains("=") | text.contains(":")
     assign = F.filter(found(text, ASSIGN, pairs), lambda s: F.length(F.regexp_replace(s["value"], "^" + KEYWORD, "")) >= 8)
     access = F.filter(found(text, ACCESS, text.contains("AKIA")), lambda s: F.length(s["value"]) >= 16)
@@ -48,7 +47,7 @@ def spans_of(docs: DataFrame, text: Column, apart: bool = False) -> DataFrame:
     out = out.withColumn("__sec", alone).withColumn("__id", found(text, IDENTIFIER, pairs)).withColumn("__end", found(text, ENDPOINT, text.contains("://")))
     base = F.concat("__assign", "__access", "__hex")
     ids, secrets, ends = F.concat("__id", "__access"), F.concat("__sec", "__assign", "__hex"), F.col("__end")
-    linked = [near(F.col("__id"), secrets, SCOPE, apart), near(F.col("__sec"), F.concat(ids, ends), SCOPE, apart), near(near(ends, secrets, SCOPE, apart), ids, SCOPE, apart)]
+    linked = [near(F.col("__id"), secrets, SCOPE), near(F.col("__sec"), F.concat(ids, ends), SCOPE), near(near(ends, secrets, SCOPE), ids, SCOPE)]
     own = [marked(F.col(c), KINDS[i], i) for i, c in enumerate(("__assign", "__access", "__hex"))]
     weak = [marked(apart_from(x, base), KINDS[3 + i], 3 + i) for i, x in enumerate(linked)]
     return out.withColumn("__base", ordered(*own)).withColumn("__all", ordered(F.col("__base"), *weak)).drop("__sec", "__id", "__end")
@@ -64,9 +63,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced in the text; all other columns as they are."""
-    out = spans_of(docs, F.coalesce(F.col(text), F.lit("")), apart=True)
-    clean = F.when(F.size("__all") > 0, replaced(F.col(text), F.col("__all"), by)).otherwise(F.col(text))
-    return out.withColumn(text, clean).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = spans_of(own, F.col("text"))
+    clean = F.when(F.size("__all") > 0, replaced(F.col("text"), F.col("__all"), by)).otherwise(F.col("row")[text])
+    return out.withColumn("text", clean).select(*[(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _hits(kind: str, pattern: str) -> str:
@@ -74,7 +74,7 @@ def _hits(kind: str, pattern: str) -> str:
     return f"SELECT rn, '{kind}' AS kind, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 2)) AS i, unnest(string_split_regex(text, '{p}')) AS g, unnest(regexp_extract_all(text, '{p}')) AS m FROM d"
 
 
-_NEAR = f"s.rn = o.rn AND s.a <= o.b + {SCOPE} AND o.a <= s.b + {SCOPE}"
+_NEAR = f"s.rn = o.rn AND s.a <= o.b + {SCOPE} AND o.a <= s.b + {SCOPE} AND (o.b <= s.a OR o.a >= s.b)"
 _KW = KEYWORD.replace("'", "''")
 SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
