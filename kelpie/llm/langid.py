@@ -2,18 +2,18 @@
 
 The vocabulary is a public one of fixed size. A language gives each piece a probability; a
 word's probability is the sum over all ways to segment it into pieces, found by a forward
-pass; a text's is the product over its words (runs of letters and combining marks in lower
-case, each with a word start mark; longer runs are taken in stretches of STRETCH code points).
-Decimal digits, punctuation, symbols, white space, format characters (joiners too) and marks
-without a letter aren't scored.
-A code point that no piece covers counts as one unknown piece.
+pass over the whole word, however long it is; a text's is the product over its words (runs of
+letters and combining marks in lower case, each with a word start mark). Numerals of any kind,
+punctuation, symbols, white space, format characters (joiners too) and marks without a letter
+aren't scored. A code point that no piece covers counts as one unknown piece.
 
 Probabilities are learned by expectation-maximisation (forward-backward sums of expected
-piece counts) over a sample bounded by SAMPLE whole documents a language, those with the
-smallest hashes of their ids among those labelled and not held out. What the driver gathers
-is one number for each piece and language. Prediction covers all words of all texts: words
-are looked up in a worker's table (at most CACHE words, emptied when it is full), and new
-ones are scored in one forward pass over a whole block.
+piece counts) until the log likelihood gains less than GAIN of itself in a round, at most ROUNDS
+rounds, over a sample bounded by SAMPLE whole documents a language, those with the smallest hashes
+of their ids among those labelled and not held out, for the LANGUAGES languages of most such
+documents. What the driver gathers is one number for each piece and language. Prediction covers
+all words of all texts: words are looked up in a worker's table (at most CACHE words and
+CACHE_POINTS code points, emptied when it is full), and new ones are scored block by block.
 
 Defined cases: `und` and score 0 for a null text, a text without a letter, and where no
 language could be learned (an empty or unlabelled table); a null doc_id is neither held out
@@ -36,14 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import column, saved, text_batches
 
-SAMPLE, ROUNDS, SMOOTH, STRETCH, FOLDS = 1000, 2, 0.1, 24, 5
-CACHE = 500_000
+SAMPLE, LANGUAGES, ROUNDS, GAIN, SMOOTH, FOLDS = 1000, 200, 30, 1e-3, 0.1, 5
+CACHE, CACHE_POINTS = 500_000, 8_000_000
+#: Code points of words scored at once, and of a word from which sums are made of logarithms.
+BLOCK_POINTS, LONG = 200_000, 30
 BROADCAST_ROWS = 200_000
 MARK = "▁"
-#: Words of texts without combining marks; all marks are in the ranges of MARKS, so most texts take this way.
-WORD = re.compile(rf"[^\W\d_]{{1,{STRETCH}}}")
-MARKS = re.compile("[\u0300-\u1fff\u20d0-\u20f0\u2cef-\U0010ffff]")
-MARKED = regex.compile(r"\p{M}*[\p{L}\p{Nl}\p{No}][\p{L}\p{M}\p{Nl}\p{No}]*")
+#: Words of texts that hold nothing of ODD_ONES, which has all marks and all numerals but decimal digits; most texts take this way.
+WORD = re.compile(r"[^\W\d_]+")
+ODD_ONES = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0300-\u1fff\u2070-\U0010ffff]")
+LETTERS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 
@@ -125,14 +127,17 @@ class Lattice:
         order = np.argsort(b * len(words) + w, kind="stable")
         self.w, self.a, self.b, self.p = w[order], a[order], b[order], p[order]
         self.top = int(self.length.max()) if len(words) else 0
-        self.cuts = np.searchsorted(self.b, np.arange(self.top + 2))
+        self.cuts, self.reach = np.searchsorted(self.b, np.arange(self.top + 2)), max(pieces.by_length, default=1)
+
+    def edges_to(self, j: int) -> slice:
+        return slice(self.cuts[j], self.cuts[j + 1])
 
     def forward(self, chances: np.ndarray) -> np.ndarray:
-        """alpha[position, word, language] for chances[piece, language]."""
+        """alpha[position, word, language] for chances[piece, language], of words up to LONG code points."""
         alpha = np.zeros((self.top + 1, len(self.length), chances.shape[1]))
         alpha[0] = 1
         for j in range(1, self.top + 1):
-            e = slice(self.cuts[j], self.cuts[j + 1])
+            e = self.edges_to(j)
             if e.start == e.stop:
                 continue
             w = self.w[e]
@@ -140,29 +145,72 @@ class Lattice:
             alpha[j, w[first]] = np.add.reduceat(alpha[self.a[e], w] * chances[self.p[e]], first, axis=0)
         return alpha
 
+    def forward_logs(self, logs: np.ndarray, all_: bool) -> np.ndarray:
+        """Logs of alpha for logs[piece, language]; all_: at every position, else at each word's end (positions out of reach are kept no longer)."""
+        rows = self.top + 1 if all_ else min(self.top, self.reach) + 1
+        alpha, ends = np.full((rows, len(self.length), logs.shape[1]), -np.inf), np.zeros((len(self.length), logs.shape[1]))
+        alpha[0] = 0
+        for j in range(1, self.top + 1):
+            e = self.edges_to(j)
+            alpha[j % rows] = -np.inf
+            if e.start < e.stop:
+                w = self.w[e]
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                alpha[j % rows, w[first]] = np.logaddexp.reduceat(alpha[self.a[e] % rows, w] + logs[self.p[e]], first, axis=0)
+            done = self.length == j
+            ends[done] = alpha[j % rows, done]
+        return alpha if all_ else ends
+
     def scores(self, chances: np.ndarray) -> np.ndarray:
         """Log of each word's probability, by language."""
+        if self.top > LONG:
+            return self.forward_logs(np.log(chances), False)
         return np.log(self.forward(chances)[self.length, np.arange(len(self.length))])
 
-    def expected(self, chance: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words of one language, by forward and backward sums."""
+    def expected(self, chance: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected uses of each piece in words of one language, by forward and backward sums, and the words' log likelihood."""
+        found, every = np.zeros(len(chance)), np.arange(len(self.length))
+        if self.top > LONG:
+            logs = np.log(chance)
+            alpha = self.forward_logs(logs[:, None], True)[:, :, 0]
+            whole = alpha[self.length, every]
+            beta = np.full_like(alpha, -np.inf)
+            beta[self.length, every] = np.log(counts) - whole
+            for j in range(self.top, 0, -1):
+                e = self.edges_to(j)
+                back = logs[self.p[e]] + beta[j, self.w[e]]
+                np.add.at(found, self.p[e], np.exp(alpha[self.a[e], self.w[e]] + back))
+                np.logaddexp.at(beta, (self.a[e], self.w[e]), back)
+            return found, float(counts @ whole)
         alpha = self.forward(chance[:, None])[:, :, 0]
+        whole = alpha[self.length, every]
         beta = np.zeros_like(alpha)
-        beta[self.length, np.arange(len(self.length))] = counts / alpha[self.length, np.arange(len(self.length))]
-        found = np.zeros(len(chance))
+        beta[self.length, every] = counts / whole
         for j in range(self.top, 0, -1):
-            e = slice(self.cuts[j], self.cuts[j + 1])
+            e = self.edges_to(j)
             back = chance[self.p[e]] * beta[j, self.w[e]]
             np.add.at(found, self.p[e], alpha[self.a[e], self.w[e]] * back)
             np.add.at(beta, (self.a[e], self.w[e]), back)
-        return found
+        return found, float(counts @ np.log(whole))
+
+
+def blocks(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words, short ones apart from long ones, in blocks of about BLOCK_POINTS code points times the longest word's share."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    own: list[int] = []
+    for i in order:
+        n = len(words[i]) + 1
+        if own and ((len(own) + 1) * n > BLOCK_POINTS or (n > LONG >= len(words[own[0]]) + 1)):
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
 
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
-    if not MARKS.search(text):
-        return WORD.findall(text)
-    return [run[i : i + STRETCH] for run in MARKED.findall(text) for i in range(0, len(run), STRETCH)]
+    return (LETTERS if ODD_ONES.search(text) else WORD).findall(text)
 
 
 class Model:
@@ -184,17 +232,21 @@ class Model:
     def empty(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((0, len(self.languages)))
+        self.points = 0
 
     def learn_words(self, texts: list[list[str]]) -> None:
         known = self.at
         new = list({w for t in texts for w in t if w not in known})
-        if len(known) + len(new) > CACHE:
+        if len(known) + len(new) > CACHE or self.points + sum(map(len, new)) > CACHE_POINTS:
             self.empty()
             known, new = self.at, list({w for t in texts for w in t})
-        scores = [Lattice(new[i : i + 20_000], self.index).scores(self.chances) for i in range(0, len(new), 20_000)]
-        known.update(zip(new, range(len(known), len(known) + len(new))))
-        if scores:
-            self.table = np.concatenate([self.table, *scores])
+        if new:
+            scores = np.zeros((len(new), len(self.languages)))
+            for own in blocks(new):
+                scores[own] = Lattice([new[i] for i in own], self.index).scores(self.chances)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.points += sum(map(len, new))
+            self.table = np.concatenate([self.table, scores])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [words_of(t) if t and self.languages else [] for t in texts]
@@ -212,24 +264,23 @@ class Model:
         return names, scores
 
 
-def sample(docs: DataFrame, size: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, text) of the labelled documents to learn from, at most `size` ids a language."""
+def sample(docs: DataFrame, size: int = SAMPLE, most: int = LANGUAGES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, text) of the labelled documents to learn from, at most `size` ids a language and `most` languages."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    slim = own.select("id", "lang").withColumn("h", F.xxhash64("id"))
-    counts = slim.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
-    low = F.lit(None).cast("double")
-    for r in counts:  # far more than `size` of a large language have hashes under this bound, so few rows meet in its task
-        low = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 4 * size / r.n))).otherwise(low)
-    slim = slim.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= low)
+    slim = own.select("id", "lang")
+    largest = [r.lang for r in slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()]
+    # a rank's limit applies in each task first, so a large language is no large group
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = saved(slim.withColumn("n", rank).where(F.col("n") <= size).select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
+    ranked = slim.where(F.col("lang").isin(largest)).withColumn("h", F.xxhash64("id")).withColumn("n", rank).where(F.col("n") <= size)
+    chosen = saved(ranked.select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     return own.join(chosen, (F.col("id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("lang", "text")
 
 
-def fit(docs: DataFrame, vocabulary: str, size: int = SAMPLE, rounds: int = ROUNDS, smooth: float = SMOOTH, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    pieces = read_pieces(vocabulary)
+def fit(docs: DataFrame, vocabulary: str | list[str], size: int = SAMPLE, rounds: int = ROUNDS, gain: float = GAIN, smooth: float = SMOOTH, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """vocabulary: the file of a sentencepiece model, or the pieces."""
+    pieces = read_pieces(vocabulary) if isinstance(vocabulary, str) else vocabulary
 
     def count(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_batches(rows, 8_000_000):
@@ -240,31 +291,42 @@ def fit(docs: DataFrame, vocabulary: str, size: int = SAMPLE, rounds: int = ROUN
                 names, words = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = saved(sample(docs, size, doc_id, text, lang).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = saved(sample(docs, size, LANGUAGES, doc_id, text, lang).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     if not languages:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
     model = Model(languages, pieces, np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1)))
+    before = -math.inf
     for _ in range(rounds):
         now = model
 
         def expect(rows: Iterable[pa.RecordBatch], now: Model = now) -> Iterator[pa.RecordBatch]:
             now.start()
-            total = np.zeros_like(now.chances)
+            total, likelihood = np.zeros_like(now.chances), 0.0
             for batch in rows:
                 by = np.array([now.languages.index(x) for x in column(batch, "lang")], dtype=np.int64)
                 own, n = column(batch, "word"), np.array(column(batch, "n"), dtype=np.float64)
                 for k in np.unique(by):
                     at = np.flatnonzero(by == k)
-                    total[:, k] += Lattice([own[i] for i in at], now.index).expected(now.chances[:, k], n[at])
+                    for block in blocks([own[i] for i in at]):
+                        spots = at[block]
+                        found, log = Lattice([own[i] for i in spots], now.index).expected(now.chances[:, k], n[spots])
+                        total[:, k] += found
+                        likelihood += log
             piece, k = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], names=["piece", "k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[piece, -1]), pa.array(np.r_[k, -1]), pa.array(np.r_[total[piece, k], likelihood])], names=["piece", "k", "n"])
 
-        counts = np.zeros_like(model.chances)
+        counts, reached = np.zeros_like(model.chances), 0.0
         sums = words.mapInArrow(expect, "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n"))
         for r in sums.collect():  # at most pieces x languages
-            counts[r.piece, r.k] = r.n
+            if r.piece < 0:
+                reached = r.n
+            else:
+                counts[r.piece, r.k] = r.n
         model = Model(languages, pieces, (counts + smooth) / (counts + smooth).sum(axis=0))
+        if reached - before < gain * abs(reached):
+            break
+        before = reached
     return model
 
 
