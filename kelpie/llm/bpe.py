@@ -9,7 +9,7 @@ tiktoken; if a merge makes a pair of lower rank, that rank is taken up again fir
 
 Words are independent, so replaying per block gives the ids of a replay over the whole
 corpus, without a shuffle. Memory: a block's words and a worker's table of at most CACHE
-words, emptied when it is full.
+words and CACHE_BYTES bytes of words, emptied when it is full.
 
 Defined cases: a null text is an empty one (0 tokens, digests of no bytes); repeated rows
 each get their row; a word of any length is merged in n log n steps; an empty table gives
@@ -38,7 +38,7 @@ SAME = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 COMMON = re.compile(r"[\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
 
 BLOCK_BYTES = 2_000_000
-CACHE = 900_000
+CACHE, CACHE_BYTES = 600_000, 12_000_000
 _loaded: dict[int, "Merges"] = {}
 
 
@@ -62,6 +62,7 @@ class Merges:
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         self.ranks = ranks
         self.known: dict[str, bytes] = {}  # words met so far by this worker
+        self.held = 0  # bytes of those words
         self.byte_pairs = np.full((256, 256), -1, dtype=np.int64)
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -185,10 +186,13 @@ def encoder(lines: bytes, pattern: str, finish: Callable[[Merges, object, bytes]
             docs = [split(t) if t else [] for t in column(part, "text")]
             met = set(chain.from_iterable(docs))
             new = list(met.difference(known))
-            if len(known) + len(new) > CACHE:
+            words = [w.encode() for w in new]
+            if len(known) + len(new) > CACHE or merges.held + sum(map(len, words)) > CACHE_BYTES:
                 known.clear()
-                new = list(met)
-            known.update(zip(new, merges.replay([w.encode() for w in new])))
+                merges.held, new = 0, list(met)
+                words = [w.encode() for w in new]
+            merges.held += sum(map(len, words))
+            known.update(zip(new, merges.replay(words)))
             look = known.__getitem__
             done = [finish(merges, i, b"".join(map(look, words))) for i, words in zip(column(part, "doc_id"), docs)]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), type=f.type) for x, f in zip(zip(*done), schema)], schema=schema)
