@@ -8,11 +8,12 @@ import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kelpie.llm import bpe, chunk_prints, common, components, entries, langid, mixing, pii_votes, quality, secret_scan, simhash, substring_dedup, suffix_dedup
+from kelpie.llm import bpe, chunk_prints, common, components, entries, langid, mixing, pii_votes, quality, secret_scan, simhash, spans, substring_dedup, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, key string, batch int, h long, fp string, n_words int"
@@ -80,6 +81,37 @@ def test_runs_span_batches(spark, rows):
     assert out(batch_bytes=10_000) == out(batch_bytes=10**9)
 
 
+def test_passages_without_marks_are_found(spark):
+    """Repeats of over 50 words in texts without sentence marks, in very short sentences, in a script without spaces, of one word."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(r.randint(2, 9)))
+    text = lambda n, gap=" ": gap.join(word() for _ in range(n))
+    plain, shouted, wide, same = text(60), text(60, "!! "), "".join(chr(0x4E00 + r.randrange(3000)) + "\u3002" * (k % 9 == 8) for k in range(200)), "of " * 60
+    rows = [(10 * k + j, f"{text(40)} {p} {text(40)}", "en", "a") for k, p in enumerate((plain, shouted, wide, same)) for j in range(3)]
+    rows += [(100 + k, text(150), "en", "a") for k in range(20)] + [(200 + k, "two words only, but a whole text of more than a hundred and twenty bytes, and it holds no more than one sentence of words in all", "en", "a") for k in range(2)]
+    got = {x.doc_id: x for x in substring_dedup.span_dedup(frame(spark, rows)).collect()}
+    for k in range(4):
+        assert got[10 * k].n_removed == (k == 3 and got[30].n_removed)  # the first stays, but for its own repeats
+        assert all(got[10 * k + j].n_removed for j in (1, 2))
+    assert not any(got[100 + k].n_removed for k in range(20)) and got[200].n_removed == 0 and got[201].clean_text == ""
+
+
+def test_long_texts_are_cut_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for t in ("." * 200_000 + "x", "a.b" * 100_000, ". " * 100_000, "x" * 300_000, "\n" * 300_000, "\u3002" * 100_000):
+        substring_dedup.Runs(pa.array([t]))
+    assert time.perf_counter() - began < 6
+
+
+def test_null_ids_are_spread(spark):
+    text = lambda k: " ".join(f"w{k}x{j}." for j in range(60))
+    rows = [(None, text(k % 50), "en", "a") for k in range(100)] + [(1, text(3), "en", "a")]
+    got = substring_dedup.span_dedup(frame(spark, rows), batch_bytes=4000).collect()
+    assert sum(x.n_removed > 0 for x in got) == 2  # the null ids are one place; id 1 comes before it
+
+
 def bytes_removed(docs, length):
     first = {}
     for k, b in docs:
@@ -110,6 +142,18 @@ def test_bytes_removed_equal_brute_force(spark, length, gram, alphabet):
         assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in got)
 
 
+def test_equal_halves_of_identifiers_are_told_apart():
+    u = np.array
+    sent = [suffix_dedup.Sent(b, 1) for b in (0, 1)]
+    for s, more in zip(sent, ([1, 2, 3], [2, 3, 4])):
+        s.entries(3, u([7, 7, 7], np.uint64), u([10 + s.batch] * 3, np.uint64), u(more, np.uint64))
+    rows = [r for s in sent for r in s.rows]
+    met = suffix_dedup.meet((pa.scalar(0),), suffix_dedup.rows_table(rows))
+    back = suffix_dedup.Returned(met.filter(pa.array([b == 1 for b in met.column("batch").to_pylist()])))
+    same, low = back.found(3, u([7, 7, 7, 8], np.uint64), u([4, 3, 2, 2], np.uint64))
+    assert same.tolist() == [False, True, True, False] and low[1] == low[2] == 10
+
+
 def test_chunks_resist_shifts():
     r = random.Random(2)
     text = "".join(r.choice("abcdefgh ") for _ in range(5000))
@@ -149,6 +193,38 @@ def test_poisson_counts(spark):
     assert [r.source for r in only] == ["small"] and abs(only[0]["count"] - 500) < 120
 
 
+@pytest.mark.parametrize("rate", [2500.0, 1e5, 5e9])
+def test_large_poisson_counts_equal_the_summed_distribution(spark, rate):
+    """The exact inverse, from the distribution summed outwards from its mode, differs in few numbers, and by one."""
+    half = int(12 * rate**0.5)
+    k = np.arange(int(rate) - half, int(rate) + half)
+    logs = np.r_[0.0, np.cumsum(-np.log1p((k[1:] - rate) / rate))]
+    p = np.exp(logs - logs.max())
+    cdf = np.cumsum(p / p.sum())
+    u = np.random.default_rng(7).random(20_000)
+    want = k[0] + np.searchsorted(cdf, u, side="right")
+    given = spark.createDataFrame([(float(x), rate, None) for x in u], "u double, rate double, cdf array<double>").withColumn("w", F.expr(mixing.normal_quantile("u")))
+    got = np.array([r.n for r in given.select(mixing.counted(given).alias("n")).collect()])
+    assert np.abs(got - want).max() <= 1 and (got != want).mean() < 1e-4 + 2 * 2.0**-52 * rate  # u itself has 52 bits
+
+
+def test_sources_of_few_units(spark):
+    """All copies of a document of a rare source come, made by several tasks; a rate beyond the range of ints isn't an error."""
+    rows = [(k, "x" * 60_000, "en", "big") for k in range(2)] + [(7, "y", "en", "rare"), (8, None, "en", "none")]
+    out = mixing.draws(frame(spark, rows), block=1000)
+    n = {r.source: (r.n, r.copies, r.last) for r in out.groupBy("row.source").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("copies"), F.max("copy").alias("last")).collect()}
+    assert abs(n["rare"][0] - 40_000) < 5 * 200 and n["rare"][0] == n["rare"][1] == n["rare"][2]
+    far = spark.createDataFrame([(0.5, 5e9, None)], "u double, rate double, cdf array<double>").withColumn("w", F.expr(mixing.normal_quantile("u")))
+    assert far.select(mixing.counted(far)).first()[0] == 5_000_000_000
+
+
+def test_columns_named_like_working_columns_are_kept(spark):
+    names = ["row", "id", "u", "of", "rate", "cdf", "w", "n", "copy", "block", "order", "__source", "__u", "__base", "__all", "__sec", "__id", "__mark", "__first", "__same"]
+    docs = spark.createDataFrame([(1, "a b c d e", "s", *names), (2, "token = abcdefgh1", "s", *names)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (mixing.replicate(docs, added=False), secret_scan.redact(docs), simhash.keep_first(docs)):
+        assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+
+
 @pytest.fixture(scope="module")
 def merges():
     return bpe.Merges(bpe.read_ranks(entries.vocabulary("byte_bpe_50k.tiktoken")))
@@ -225,6 +301,26 @@ def test_near_duplicates_equal_brute_force(spark, rows, options):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == components_by_force(rows)
 
 
+def test_dense_keys_in_many_batches_equal_brute_force(spark):
+    """Runs that go on over batches, dense ones among them, give the components of all pairs."""
+    r, batch = random.Random(6), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    prints = sorted({(r.choice((0, 5 << 40, 77 << 20)) ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 3)))) & (2**63 - 1) for _ in range(400)})
+    own = {p: p for p in prints}
+    find = lambda x: x if own[x] == x else find(own[x])
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 4:
+                own[max(find(a), find(b))] = min(find(a), find(b))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        for dense in (4, 60, 10**6):
+            found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), dense=dense)
+            got = {x.node: x.root for x in components.components(found).collect()}
+            assert got == {p: find(p) for p in prints if sum(find(q) == find(p) for q in prints) > 1}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_keep_first_keeps_whole_rows(spark, rows):
     kept = simhash.keep_first(frame(spark, rows)).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
@@ -341,6 +437,38 @@ def test_parts_dont_complement_themselves(spark):
     texts = {1: url, 2: f"login: {weak}", 3: f"https://db.example.org {weak}"}
     clean = {r.doc_id: r.text for r in secret_scan.redact(frame(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
     assert clean == {1: url, 2: texts[2], 3: "https://db.example.org [SECRET]"}
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(frame(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert spans[1] == spans[2] == "" and spans[3].startswith("secret:")
+
+
+def test_spans_meet_as_by_brute_force(spark):
+    r = random.Random(9)
+    pairs = []
+    for n in [0, 1, 2, 5, 30, 700]:
+        for m in [0, 1, 3, 40, 700]:
+            make = lambda k: [(a, a + r.randint(1, 9)) for a in (r.randint(0, 6 * k) for _ in range(k))]
+            pairs.append((len(pairs), make(n), make(m)))
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(pairs, f"k int, a {kind}, b {kind}")
+    got = df.select("k", spans.near(F.col("a"), F.col("b"), 4).alias("near"), spans.apart_from(F.col("a"), F.col("b")).alias("apart")).collect()
+    for g, (_, a, b) in zip(sorted(got), pairs):
+        assert [tuple(s) for s in g.near] == [s for s in a if any((0 <= s[0] - o[1] <= 4) or (0 <= o[0] - s[1] <= 4) for o in b)]
+        assert [tuple(s) for s in g.apart] == [s for s in a if not any(s[0] < o[1] and o[0] < s[1] for o in b)]
+
+
+def test_texts_with_many_spans_take_linear_time(spark):
+    import time
+
+    text = "é token = abcdefgh12 https://a.example/x user: root " * 20_000 + "😀" * 3000
+    rows = frame(spark, [(1, text, "en", "a")]).repartition(1)
+    began = time.perf_counter()
+    row = secret_scan.scan(rows).first()
+    clean = secret_scan.redact(rows).first().text
+    assert row.n_assign == 20_000 and row.spans.count("endpoint") == row.spans.count("identifier") == 20_000
+    assert clean == "é [SECRET] [SECRET] [SECRET] " * 20_000 + "😀" * 3000
+    mails = pii_votes.find(frame(spark, [(1, "call a.b@c.com or +1 (212) 555-0100, 10.0.0.1; " * 10_000, "en", "a")])).first()
+    assert mails.n_email == mails.n_ip == mails.n_phone == 10_000
+    assert time.perf_counter() - began < 90  # by pairs it would take hours
 
 
 def test_segmentations_are_summed():
@@ -353,30 +481,89 @@ def test_segmentations_are_summed():
         want = [langid.reference_score("▁" + w, {p: chances[i, k] for i, p in enumerate(pieces)}, chances[-1, k]) for w in words]
         assert np.allclose(got[:, k], want)
     counts = np.ones(len(words))
-    uses = langid.Lattice(words, langid.Pieces(pieces)).expected(chances[:, 0], counts)
+    uses, whole = langid.Lattice(words, langid.Pieces(pieces)).expected(chances[:, 0], counts)
+    assert abs(whole - got[:, 0].sum()) < 1e-6
     letters = sum(u * len(p) for u, p in zip(uses, [*pieces, "x"]))
     assert abs(letters - sum(len(w) + 1 for w in words)) < 1e-6  # expected pieces cover each word
 
 
-def test_marks_stay_in_words():
+def test_long_words_are_summed_whole():
+    """Logarithms give the sums of the plain way, and words are never cut."""
+    r = random.Random(3)
+    pieces = sorted({"".join(r.choice("▁abc") for _ in range(r.randint(1, 4))) for _ in range(40)})
+    chances = np.random.default_rng(1).random((len(pieces) + 1, 3)) / 9
+    words = ["".join(r.choice("abcz") for _ in range(r.randint(1, 28))) for _ in range(60)]
+    plain, index = langid.Lattice(words, langid.Pieces(pieces)), langid.Pieces(pieces)
+    mixed = langid.Lattice([*words, "abcabz" * 700], index)  # one long word among them: all by logarithms
+    assert np.allclose(mixed.scores(chances)[:-1], plain.scores(chances)) and np.isfinite(mixed.scores(chances)).all()
+    a, b = plain.expected(chances[:, 0], np.ones(60)), langid.Lattice([*words, "a" * 40], index).expected(chances[:, 0], np.r_[np.ones(60), 1e-300])
+    assert np.allclose(a[0], b[0]) and abs(a[1] - b[1]) < 1e-6
+    split = [i for own in langid.blocks([*words, "x" * 500_000, "y" * 31]) for i in own]
+    assert sorted(split) == list(range(62))
+
+
+def test_fit_and_predict_equal_brute_force(spark):
+    """Expectation-maximisation by listing all segmentations, over a tiny vocabulary."""
+    r = random.Random(4)
+    pieces = sorted({"▁", "a", "b", "▁a", "ab", "ba", "bab", "▁ba"})
+    text = {"p": lambda: " ".join("ab" * r.randint(1, 2) for _ in range(6)), "q": lambda: " ".join("ba" * r.randint(1, 3) + "z" * r.randint(0, 1) for _ in range(6))}
+    rows = [(i, text["pq"[i % 2]](), "pq"[i % 2], "a") for i in range(60)]
+    model = langid.fit(frame(spark, rows), pieces, rounds=4, gain=0.0)
+
+    def ways(word):
+        if not word:
+            yield []
+        for j in range(1, len(word) + 1):
+            if word[:j] in pieces or (j == 1 and word[0] not in pieces):
+                for rest in ways(word[j:]):
+                    yield [pieces.index(word[:j]) if word[:j] in pieces else len(pieces), *rest]
+
+    import zlib
+
+    learned = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    chance = {lang: [1 / (len(pieces) + 1)] * (len(pieces) + 1) for lang in "pq"}
+    for _ in range(4):
+        for lang in "pq":
+            counts = [langid.SMOOTH] * (len(pieces) + 1)
+            for t in (t for t, own in learned if own == lang):
+                for word in t.split():
+                    each = [(way, float(np.prod([chance[lang][p] for p in way]))) for way in ways("▁" + word)]
+                    whole = sum(p for _, p in each)
+                    for way, p in each:
+                        for piece in way:
+                            counts[piece] += p / whole
+            chance[lang] = [c / sum(counts) for c in counts]
+    assert np.allclose(model.chances, np.array([chance["p"], chance["q"]]).T)
+    for row in langid.predict(frame(spark, rows), model).collect():
+        own = dict((i, t) for i, t, *_ in rows)[row.doc_id]
+        log = {lang: sum(np.log(sum(np.prod([chance[lang][p] for p in way]) for way in ways("▁" + w))) for w in own.split()) for lang in "pq"}
+        best = max(sorted(log), key=log.get)
+        assert row.lang_pred == best and abs(row.score - 1 / sum(np.exp(x - log[best]) for x in log.values())) < 1e-6
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_words_are_letters_with_their_marks():
     assert langid.words_of("हिन्दी भाषा में 12") == ["हिन्दी", "भाषा", "में"]
     assert langid.words_of("Cafe\u0301 au_lait") == ["cafe\u0301", "au", "lait"]
-    assert langid.words_of("❤\ufe0f 5 \u0301") == [] and langid.words_of("x²\u0301" * 20) == ["x²\u0301" * 8, "x²\u0301" * 8, "x²\u0301" * 4]
-    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
-    assert all(langid.words_of(f"a{c}b") == [f"a{c}b".lower()] for c in marks)
+    assert langid.words_of("❤\ufe0f 5 \u0301") == langid.words_of("½ ² ① Ⅷ ٣ 〇 x".replace("x", "")) == []
+    assert langid.words_of("x²\u0301y") == ["x", "\u0301y"] and langid.words_of("m² of " + "a" * 90) == ["m", "of", "a" * 90]
+    kinds = {chr(c): unicodedata.category(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000}
+    assert all(langid.words_of(f"a{c}b") == [f"a{c}b".lower()] for c, k in kinds.items() if k[0] == "M")
+    assert not any(langid.words_of(c) for c, k in kinds.items() if k[0] == "N")
+    assert all(langid.words_of(c) for c, k in kinds.items() if k[0] == "L" and k != "Lm")
 
 
 def test_languages_are_told(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    extra = spark.createDataFrame([(None, "the 12"), (-1, None), (-2, ""), (-3, "12 :-)")], "doc_id long, text string")
+    extra = spark.createDataFrame([(None, "the 12"), (-1, None), (-2, ""), (-3, "12 :-)"), (-4, "½ ² ① Ⅷ")], "doc_id long, text string")
     docs = docs.unionByName(extra, allowMissingColumns=True)
     model = langid.fit(docs, entries.vocabulary("piece_bpe_32k.model"), size=60)
     out = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert len(out) > 150 and sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in out)
     odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(extra, model).collect()}
-    assert odd[-1] == odd[-2] == odd[-3] == ("und", 0.0) and odd[None][0] in model.languages
+    assert odd[-1] == odd[-2] == odd[-3] == odd[-4] == ("und", 0.0) and odd[None][0] in model.languages
     kept = langid.keep_known(docs, model)
-    assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 4
 
 
 def test_texts_with_letters_stay_without_labels(spark):
