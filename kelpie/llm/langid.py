@@ -268,10 +268,13 @@ def sample(docs: DataFrame, size: int = SAMPLE, most: int = LANGUAGES, doc_id: s
     """(lang, text) of the labelled documents to learn from, at most `size` ids a language and `most` languages."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     slim = own.select("id", "lang")
-    largest = [r.lang for r in slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()]
-    # a rank's limit applies in each task first, so a large language is no large group
+    counts = slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()
+    low = F.lit(None).cast("double")
+    for r in counts:  # far more than `size` of a large language have hashes under this bound, so few rows meet in its task
+        low = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 4 * size / r.n))).otherwise(low)
+    slim = slim.withColumn("h", F.xxhash64("id")).where((F.col("h").cast("double") / 2.0**64 + 0.5) <= low)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ranked = slim.where(F.col("lang").isin(largest)).withColumn("h", F.xxhash64("id")).withColumn("n", rank).where(F.col("n") <= size)
+    ranked = slim.withColumn("n", rank).where(F.col("n") <= size)
     chosen = saved(ranked.select(F.col("id").alias("i"), F.col("lang").alias("l")).distinct())
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
