@@ -27,19 +27,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, text_batches
+from .common import column, give_back, text_batches
 
 # Fixed value: the usual pattern, and one that matches the same in texts of COMMON characters.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAME = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 COMMON = re.compile(r"[\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
 
-BLOCK_BYTES = 2_000_000
-CACHE, CACHE_BYTES = 600_000, 12_000_000
-_loaded: dict[int, "Merges"] = {}
+BLOCK_BYTES = 1_000_000
+CACHE, CACHE_BYTES = 400_000, 12_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -159,12 +159,25 @@ class Merges:
         return self.laid[np.repeat(self.starts[own] - ends + n, n) + np.arange(int(ends[-1]))].tobytes()
 
 
-def merges_of(lines: bytes) -> Merges:
-    key = hash(lines)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Merges(lines)
-    return _loaded[key]
+class Sent:
+    """The vocabulary file as workers get it, by a broadcast; what a worker makes of it goes when Spark drops the broadcast there."""
+
+    def __init__(self, lines: bytes) -> None:
+        self.lines, self.made = lines, None
+
+    def __getstate__(self) -> dict:
+        return {"lines": self.lines, "made": None}
+
+    def merges(self) -> Merges:
+        if self.made is None:
+            give_back()
+            self.made = Merges(self.lines)
+        return self.made
+
+
+def sent(spark: SparkSession, vocabulary: str) -> Broadcast[Sent]:
+    """The file, of a fixed size, read on the driver."""
+    return spark.sparkContext.broadcast(Sent(read_ranks(vocabulary)))
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
@@ -178,9 +191,9 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: fast(text) if common(text) else slow(text)
 
 
-def encoder(lines: bytes, pattern: str, finish: Callable[[Merges, object, bytes], tuple], schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encoder(ranks: Broadcast[Sent], pattern: str, finish: Callable[[Merges, object, bytes], tuple], schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, split = merges_of(lines), splitter(pattern)
+        merges, split = ranks.value.merges(), splitter(pattern)
         known = merges.known
         for part in text_batches(rows, BLOCK_BYTES):
             docs = [split(t) if t else [] for t in column(part, "text")]
@@ -204,15 +217,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
     """(doc_id, ids): the token ids of each text. The file is read on the driver and sent along; its size is fixed."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
     finish = lambda _, i, ids: (i, np.frombuffer(ids, dtype="<u4").tolist())
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoder(read_ranks(vocabulary), pattern, finish, schema), "doc_id long, ids array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoder(sent(docs.sparkSession, vocabulary), pattern, finish, schema), "doc_id long, ids array<long>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, bytes) of (doc_id, ids); a null list is an empty one."""
-    lines, schema = read_ranks(vocabulary), pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])
+    ranks, schema = sent(encoded.sparkSession, vocabulary), pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = merges_of(lines).tokens
+        tokens = ranks.value.merges().tokens
         for part in text_batches(rows, 4 * BLOCK_BYTES):
             done = [b"".join(tokens[i] for i in ids or ()) for ids in column(part, "ids")]
             yield pa.RecordBatch.from_arrays([pa.array(column(part, "doc_id"), pa.int64()), pa.array(done, pa.binary())], schema=schema)
@@ -227,4 +240,4 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_i
     def finish(merges: Merges, i: object, ids: bytes) -> tuple:
         return i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(merges.decode(ids)).hexdigest()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoder(read_ranks(vocabulary), pattern, finish, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoder(sent(docs.sparkSession, vocabulary), pattern, finish, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

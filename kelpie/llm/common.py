@@ -7,6 +7,7 @@ called, can't clash with working columns.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +61,14 @@ def text_batches(rows: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[pa
             yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker freed to the system, where its C library can (others keep it for later use)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
