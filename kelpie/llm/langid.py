@@ -12,8 +12,9 @@ piece counts) until the log likelihood gains less than GAIN of itself in a round
 rounds, over a sample bounded by SAMPLE whole documents a language, those with the smallest hashes
 of their ids among those labelled and not held out, for the LANGUAGES languages of most such
 documents. What the driver gathers is one number for each piece and language. Prediction covers
-all words of all texts: words are looked up in a worker's table (at most CACHE words and
-CACHE_POINTS code points, emptied when it is full), and new ones are scored block by block.
+all words of all texts: words are looked up in a worker's table (at most CACHE_CELLS scores, one
+for each word and language, and CACHE_POINTS code points, emptied when it is full), and new ones
+are scored block by block. The table belongs to the broadcast model and goes with it.
 
 Defined cases: `und` and score 0 for a null text, a text without a letter, and where no
 language could be learned (an empty or unlabelled table); a null doc_id is neither held out
@@ -34,10 +35,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, saved, text_batches
+from .common import column, give_back, saved, text_batches
 
 SAMPLE, LANGUAGES, ROUNDS, GAIN, SMOOTH, FOLDS = 1000, 200, 30, 1e-3, 0.1, 5
-CACHE, CACHE_POINTS = 500_000, 8_000_000
+CACHE_CELLS, CACHE_POINTS = 3_000_000, 8_000_000
+#: Bytes of texts taken at once, with up to 8 languages; with more of them fewer bytes, so that scores of a batch's words take no more room.
+BATCH_TEXT = 4_000_000
 #: Code points of words scored at once, and of a word from which sums are made of logarithms.
 BLOCK_POINTS, LONG = 200_000, 30
 BROADCAST_ROWS = 200_000
@@ -226,6 +229,7 @@ class Model:
         self.__init__(state["languages"], state["pieces"].split("\0"), state["chances"])
 
     def start(self) -> None:
+        give_back()
         self.index = Pieces(self.pieces)
         self.empty()
 
@@ -237,16 +241,19 @@ class Model:
     def learn_words(self, texts: list[list[str]]) -> None:
         known = self.at
         new = list({w for t in texts for w in t if w not in known})
-        if len(known) + len(new) > CACHE or self.points + sum(map(len, new)) > CACHE_POINTS:
+        if (len(known) + len(new)) * len(self.languages) > CACHE_CELLS or self.points + sum(map(len, new)) > CACHE_POINTS:
             self.empty()
             known, new = self.at, list({w for t in texts for w in t})
         if new:
-            scores = np.zeros((len(new), len(self.languages)))
+            need = len(known) + len(new)
+            if need > len(self.table):
+                more = np.empty((max(need, min(2 * len(self.table), CACHE_CELLS // len(self.languages))), len(self.languages)))
+                more[: len(known)] = self.table[: len(known)]
+                self.table = more
             for own in blocks(new):
-                scores[own] = Lattice([new[i] for i in own], self.index).scores(self.chances)
+                self.table[np.array(own) + len(known)] = Lattice([new[i] for i in own], self.index).scores(self.chances)
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self.points += sum(map(len, new))
-            self.table = np.concatenate([self.table, scores])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [words_of(t) if t and self.languages else [] for t in texts]
@@ -342,7 +349,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         own = sent.value
         if not hasattr(own, "at"):
             own.start()
-        for part in text_batches(rows, 4_000_000):
+        for part in text_batches(rows, BATCH_TEXT * 8 // max(8, len(own.languages))):
             names, scores = own.predict(column(part, "text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -358,7 +365,7 @@ def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
         own = sent.value
         if not hasattr(own, "at"):
             own.start()
-        for part in text_batches(rows, 4_000_000):
+        for part in text_batches(rows, BATCH_TEXT * 8 // max(8, len(own.languages))):
             if own.languages:
                 known = [n != "und" for n in own.predict(column(part, text))[0]]
             else:
