@@ -21,11 +21,13 @@ def latest_user_turn(df: DataFrame, conversation: str = "conv_id", turn: str = "
 def guard_turns(df: DataFrame, text: str = "text", conversation: str = "conv_id", turn: str = "turn", role: str = "role", operation: str = "redact", config: dict[str, Any] | None = None, **options: Any) -> DataFrame:
     """df with the text of each conversation's latest user turn rewritten and all others as they are; and result, of that turn only.
 
-    The latest turn comes from an aggregate (at most one row a conversation a task) and not from sorting whole
-    conversations with their texts, so that a conversation of any length is no task's burden.
+    The latest turn comes from an aggregate (at most one row a conversation a task) and meets the turns by conversation
+    and turn, which spreads the turns of a long conversation over the tasks. Rows of the role user that share a
+    conversation's latest turn are all rewritten; a null turn is never the latest.
     """
     users = df.where(F.col(role) == "user").groupBy(F.col(conversation).alias(f"{KEEP}c")).agg(F.max(turn).alias(f"{KEEP}t"))
-    joined = df.join(users, F.col(conversation).eqNullSafe(F.col(f"{KEEP}c")), "left").withColumn(f"{KEEP}last", F.coalesce((F.col(role) == "user") & (F.col(turn) == F.col(f"{KEEP}t")), F.lit(False)))
+    latest = F.col(conversation).eqNullSafe(F.col(f"{KEEP}c")) & (F.col(turn) == F.col(f"{KEEP}t"))
+    joined = df.join(users, latest, "left").withColumn(f"{KEEP}last", F.coalesce(F.col(role) == "user", F.lit(False)) & F.col(f"{KEEP}t").isNotNull())
     part = scan(joined.withColumn(f"{KEEP}in", F.when(F.col(f"{KEEP}last"), F.col(text))), f"{KEEP}in", operation, config, **options)
     new = F.when(F.col(f"{KEEP}last"), protected(part, f"{KEEP}in")).otherwise(F.col(text))
     return part.withColumn(text, new).withColumn("result", F.when(F.col(f"{KEEP}last"), F.col("result"))).drop(f"{KEEP}c", f"{KEEP}t", f"{KEEP}last", f"{KEEP}in")

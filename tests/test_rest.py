@@ -80,6 +80,15 @@ def test_label_map_is_disjoint(spark):
     assert tuple(row.b) == ("sensitive", "sensitive_attribute") and tuple(row.u) == ("unmapped", None)
 
 
+def test_latest_turns_meet_by_conversation_and_turn(spark):
+    mail = "mail a@b.co"
+    rows = [(1, 1, "user"), (1, 2, "user"), (1, 2, "assistant"), (1, 3, "assistant"), (1, None, "user"), (None, 5, "user"), (None, 4, "user"), (2, 1, None), (3, 7, "user"), (3, 7, "user")]
+    out = chat.guard_turns(spark.createDataFrame([(*r, mail) for r in rows], "conv_id long, turn long, role string, text string"), config=REGEX)
+    changed = [(r.conv_id, r.turn, r.role) for r in out.collect() if r.text != mail]
+    assert out.count() == len(rows)
+    assert sorted(changed, key=str) == sorted([(1, 2, "user"), (None, 5, "user"), (3, 7, "user"), (3, 7, "user")], key=str)
+
+
 def test_stratified_sample_has_its_size(spark):
     rows = [(i, [["date"], ["ipv4"], ["date", "city"]][i % 3], ["x"] * (i % 2), "us") for i in range(400)]
     df = spark.createDataFrame(rows, "id long, source_labels array<string>, keep array<string>, locale string")
