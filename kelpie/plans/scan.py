@@ -69,6 +69,21 @@ def detections(df: DataFrame, text: str, settings: policy.Settings, scorer: scor
     return out.withColumn(f"{KEEP}found", final).drop(f"{KEEP}all")
 
 
+def outcome(settings: policy.Settings, operation: str, key: bytes, value: Column, found: Column, error: Column) -> Column:
+    """The result struct of an operation on texts whose detections are known."""
+    action = policy.action_of(operation, settings)
+    fine = error.isNull()
+    decided = F.when(fine, policy.decision(found, action))
+    finding = F.transform(found, lambda d: F.struct(d["type"].alias("type"), d["category"].alias("category"), d["start"].alias("start"), d["end"].alias("end"), F.lit(policy.DECISIONS[action]).alias("action"), d["confidence"].alias("confidence"), d["detector"].alias("detector")))
+    content = F.when(fine & (F.size(found) > 0), rewritten(value, found, action, key)) if action in policy.REWRITES else F.lit(None).cast("string")
+    matches = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda d: d["detector"] == "custom-regex"), lambda d: d["type"])))
+    metadata = F.struct(
+        F.lit(settings.detector_mode).alias("detector_mode"), F.lit(settings.threshold).alias("threshold"), F.when(F.size(found) > 0, action).otherwise("detect").alias("applied_action"),
+        F.size(found).alias("finding_count"), F.lit(len(settings.patterns)).alias("custom_patterns"), matches.alias("custom_matches"),
+    )
+    return F.struct(decided.alias("decision"), F.when(fine, policy.risk(found)).alias("risk"), finding.alias("findings"), content.alias("transformed_content"), policy.codes(found, operation).alias("reason_codes"), metadata.alias("metadata"), error.alias("error"))
+
+
 def scan(df: DataFrame, text: str = "text", operation: str = "detect", config: dict[str, Any] | None = None, key: bytes | None = None, scorer: score.Scorer | None = None, output: str = "result", vault_column: str | None = None, edges: frozenset[str] | None = None) -> DataFrame:
     """df with a result struct: decision, risk, findings, transformed_content, reason_codes, metadata and error.
 
@@ -81,17 +96,7 @@ def scan(df: DataFrame, text: str = "text", operation: str = "detect", config: d
     key = key if key is not None else token_key()
     out = detections(df, text, settings, scorer, edges)
     value, found, error = F.col(f"{KEEP}text"), F.col(f"{KEEP}found"), F.col(f"{KEEP}error")
-    fine = error.isNull()
-    decided = F.when(fine, policy.decision(found, action))
-    finding = F.transform(found, lambda d: F.struct(d["type"].alias("type"), d["category"].alias("category"), d["start"].alias("start"), d["end"].alias("end"), F.lit(policy.DECISIONS[action]).alias("action"), d["confidence"].alias("confidence"), d["detector"].alias("detector")))
-    content = F.when(fine & (F.size(found) > 0), rewritten(value, found, action, key)) if action in policy.REWRITES else F.lit(None).cast("string")
-    matches = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda d: d["detector"] == "custom-regex"), lambda d: d["type"])))
-    metadata = F.struct(
-        F.lit(settings.detector_mode).alias("detector_mode"), F.lit(settings.threshold).alias("threshold"), F.when(F.size(found) > 0, action).otherwise("detect").alias("applied_action"),
-        F.size(found).alias("finding_count"), F.lit(len(settings.patterns)).alias("custom_patterns"), matches.alias("custom_matches"),
-    )
-    result = F.struct(decided.alias("decision"), F.when(fine, policy.risk(found)).alias("risk"), finding.alias("findings"), content.alias("transformed_content"), policy.codes(found, operation).alias("reason_codes"), metadata.alias("metadata"), error.alias("error"))
-    out = out.withColumn(output, result)
+    out = out.withColumn(output, outcome(settings, operation, key, value, found, error))
     if vault_column:
         entries = vault(value, found, key) if action == "tokenize" else F.array().cast("array<struct<token:string,value:string>>")
         out = out.withColumn(vault_column, entries)
@@ -160,20 +165,20 @@ def execute_json(df: DataFrame, value: str = "value", config: dict[str, Any] | N
     """(request_id, status, value): JSON requests to JSON results, for batches and streams.
 
     Status 200, or 400 for a request that is not JSON or has an unknown operation. Only the major part of a contract
-    version has to be 1; none passes. Vaults never leave. All requests of a job share its config.
+    version has to be 1; none passes. Vaults never leave. All requests of a job share its config. The requests are read and
+    scanned once, whatever their operations.
     """
     if version is not None and version.split(".")[0] != "1":
         raise ValueError("the contract's major version is 1")
+    settings, key = policy.resolve_config(config), key if key is not None else token_key()
     asked = df.select(F.from_json(F.col(value), REQUEST).alias("q")).select("q.*")
-    good = F.col("operation").isin(policy.OPERATIONS)
-    done = None
+    known = F.col("operation").isin(policy.OPERATIONS)
+    own = detections(asked.select("request_id", F.when(known, F.col("operation")).alias("operation"), F.when(known, F.col("content")).alias("content")), "content", settings)
+    body = F.lit(None).cast("string")
     for operation in policy.OPERATIONS:
-        own = scan(asked.where(good & (F.col("operation") == operation)), "content", operation, config, key)
-        body = F.to_json(F.struct("result.*"))
-        part = own.select("request_id", F.lit(200).alias("status"), body.alias("value"))
-        done = part if done is None else done.unionByName(part)
-    bad = asked.where(~F.coalesce(good, F.lit(False))).select("request_id", F.lit(400).alias("status"), F.lit(None).cast("string").alias("value"))
-    return done.unionByName(bad)
+        done = outcome(settings, operation, key, F.col(f"{KEEP}text"), F.col(f"{KEEP}found"), F.col(f"{KEEP}error"))
+        body = F.when(F.col("operation") == operation, F.to_json(done)).otherwise(body)
+    return own.select("request_id", F.when(F.col("operation").isNull(), 400).otherwise(200).alias("status"), body.alias("value"))
 
 
 def health(spark: SparkSession, scorer: score.Scorer | None = None) -> DataFrame:
