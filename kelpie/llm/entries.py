@@ -27,7 +27,7 @@ def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.line_rules(documents(spark, sf_dir))
+    return quality.line_rules(documents(spark, sf_dir)).drop("text")
 
 
 def op3_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:

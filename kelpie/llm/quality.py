@@ -4,21 +4,23 @@ Base rules look at one text (words are runs of characters other than space and \
 The method then hashes normalised lines (A-Z lowered, words joined by single spaces), counts
 distinct documents per host (the source column), removes lines that more than MIN_DOCS
 documents and more than SHARE percent of the host's documents hold, and rejects documents
-that are depleted, i.e. lose more than half of their words.
+that are depleted, i.e. lose more than half of their words. What is lost is counted in the
+texts that are left, which come out with the verdict.
 
-One pass over the texts writes the measures and line hashes to the shared folder; all else
-works on these. Lines over the limits number at most lines per document / SHARE for each
-host; they are broadcast only if they are few, and else joined by a shuffle.
+A first pass over the texts writes their line hashes to the shared folder; lines are counted
+there. A second pass measures the texts and removes the lines. Lines over the limits number
+at most lines per document / SHARE for each host; if they are few, each worker gets them and
+no text is shuffled, else they are joined to the hashes and each text meets the lines it loses.
 
-Defined cases: a null text has no words; a null source is a host of its own; rows with equal
-doc_id count as one document; repeated rows each get their row; an empty table gives an
-empty result. Only id, text and source are read.
+Defined cases: a null text has no words and stays null; blank lines stay; a null source is a
+host of its own; rows with equal doc_id count as one document; repeated rows each get their
+row; an empty table gives an empty result. Only id, text and source are read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -47,45 +49,60 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def line_hashes(text: str) -> list[tuple[int, int]]:
-    """Hash and words (of all its occurrences) of each distinct normalised line."""
-    found: dict[int, int] = {}
-    for line in text.encode().lower().split(b"\n"):
-        if words := line.split():
-            h = xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
-            found[h] = found.get(h, 0) + len(words)
-    return list(found.items())
+def line_hash(line: bytes) -> int | None:
+    """Of a normalised line; none of a line without a word."""
+    words = line.lower().split()
+    return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63 if words else None
 
 
-LINE = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
+def without(text: str, gone: Collection[int]) -> str:
+    """The text without the lines whose hashes are gone."""
+    if not gone:
+        return text
+    lines = text.encode().split(b"\n")
+    left = [x for x in lines if line_hash(x) not in gone]
+    return text if len(left) == len(lines) else b"\n".join(left).decode()
 
 
-def measure(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hashed(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_batches(rows, 4_000_000):
-        texts = [t or "" for t in column(part, "text")]
-        own = list(zip(*map(measures, texts)))
-        lines = [[{"line": h, "words": n} for h, n in line_hashes(t)] for t in texts]
-        same = [xxhash.xxh64_intdigest(t.encode()) - 2**63 for t in texts]
-        arrays = [part.column("doc_id"), part.column("key"), part.column("host"), pa.array(same, pa.int64()), *[pa.array(x, pa.int64()) for x in own], pa.array(lines, LINE)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "host", "same", *FIELDS, "lines"])
-
-
-def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: int = SHARE, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, base measures, base_failed, n_words_removed, kept) of each row of docs."""
-    schema = "doc_id long, key long, host string, same long, " + ", ".join(f"{f} long" for f in FIELDS) + ", lines array<struct<line:long,words:long>>"
-    measured = saved(docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id).alias("key"), F.col(source).cast("string").alias("host"), F.col(text).alias("text")).mapInArrow(measure, schema))
-    lines = measured.select("key", "host", "same", F.explode("lines").alias("l")).select("key", "host", "same", "l.line", "l.words")
+        lines = [list({h for x in (t or "").encode().split(b"\n") if (h := line_hash(x)) is not None}) for t in column(part, "text")]
+        yield pa.RecordBatch.from_arrays([part.column("key"), part.column("host"), part.column("same"), pa.array(lines, pa.list_(pa.int64()))], names=["key", "host", "same", "lines"])
+
+
+def line_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: int = SHARE, broadcast_rows: int = BROADCAST_ROWS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, base measures, base_failed, n_words_removed, kept, text) of each row of docs; text is what is left of it."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id).alias("key"), F.col(source).cast("string").alias("host"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
+    found = saved(own.select("key", "host", "same", "text").mapInArrow(hashed, "key long, host string, same long, lines array<long>"))
+    lines = found.select("key", "host", "same", F.explode("lines").alias("line"))
     often = lines.groupBy("host", "line").agg(F.count_distinct("key").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = measured.groupBy(F.col("host").alias("of")).agg(F.count_distinct("key").alias("all"))
+    hosts = found.groupBy(F.col("host").alias("of")).agg(F.count_distinct("key").alias("all"))
     over = saved(often.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(100 * F.col("docs") > share * F.col("all")).select(F.col("host").alias("of"), F.col("line").alias("over")))
-    if over.count() <= BROADCAST_ROWS:
-        over = F.broadcast(over)
-    lost = lines.join(over, (F.col("line") == F.col("over")) & F.col("host").eqNullSafe(F.col("of"))).select("key", "host", "same", "line", "words").distinct()
-    lost = lost.groupBy("key", "host", "same").agg(F.sum("words").alias("lost")).select(F.col("key").alias("k"), F.col("host").alias("h"), F.col("same").alias("s"), "lost")
+    few = None
+    if over.count() <= broadcast_rows:
+        of_host: dict[str | None, set[int]] = {}
+        for r in over.collect():
+            of_host.setdefault(r["of"], set()).add(r["over"])
+        few = docs.sparkSession.sparkContext.broadcast(of_host)
+        own = own.select("doc_id", "host", "text")
+    else:
+        lost = lines.join(over, (F.col("line") == F.col("over")) & F.col("host").eqNullSafe(F.col("of")))
+        lost = lost.groupBy(F.col("key").alias("k"), F.col("host").alias("h"), F.col("same").alias("s")).agg(F.collect_set("line").alias("gone"))
+        own = own.join(lost, (F.col("key") == F.col("k")) & (F.col("same") == F.col("s")) & F.col("host").eqNullSafe(F.col("h")), "left").select("doc_id", "text", "gone")
+
+    def cleaned(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_batches(rows, 4_000_000):
+            texts = column(part, "text")
+            gone = [few.value.get(h, ()) for h in column(part, "host")] if few else [set(g or ()) for g in column(part, "gone")]
+            left = [t and without(t, g) for t, g in zip(texts, gone)]
+            fields = list(zip(*(measures(t or "") for t in texts)))
+            removed = [n - (n if x is t else len((x or "").encode().split())) for n, t, x in zip(fields[0], texts, left)]
+            arrays = [part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (*fields, removed)], pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *FIELDS, "n_words_removed", "text"])
+
+    schema = "doc_id long, " + ", ".join(f"{f} long" for f in FIELDS) + ", n_words_removed long, text string"
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    gone = F.coalesce(F.col("lost"), F.lit(0))
-    joined = measured.drop("lines").join(lost, (F.col("key") == F.col("k")) & (F.col("same") == F.col("s")) & F.col("host").eqNullSafe(F.col("h")), "left")
-    return joined.select("doc_id", *FIELDS, failed.alias("base_failed"), gone.alias("n_words_removed"), (~failed & (2 * gone <= F.col("n_words"))).alias("kept"))
+    return own.mapInArrow(cleaned, schema).select("doc_id", *FIELDS, failed.alias("base_failed"), "n_words_removed", (~failed & (2 * F.col("n_words_removed") <= F.col("n_words"))).alias("kept"), "text")
 
 
 _W = r"[^\x20\x09-\x0D]"

@@ -587,6 +587,15 @@ def test_lines_of_a_host(spark):
     assert not any(out[200 + i].kept for i in range(3))
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}])
+def test_lines_are_removed_from_texts(spark, options):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"Home |\tAbout\n{body(i)}\n\n  home  | ABOUT \nend {i}", "en", None if i % 2 else "hot") for i in range(40)] + [(40 + i, t, "en", s) for i, (t, s) in enumerate([("Home | About\nx", "cold"), (None, "hot"), ("", "hot"), ("Home | About", "hot")])] + [(None, f"home | about\n{k}", "en", "hot") for k in range(2)]
+    out = quality.line_rules(frame(spark, rows), **options).collect()
+    want = [(i, f"{body(i)}\n\nend {i}", 6) for i in range(40)] + [(40, "Home | About\nx", 0), (41, None, 0), (42, "", 0), (43, "", 3), (None, "0", 3), (None, "1", 3)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text, r.n_words_removed)) for r in out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
