@@ -227,11 +227,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     a smaller id's the smallest stays. A row without an id is known by its text, after all ids
     below 2^62.
     """
-    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     by_text = F.shiftrightunsigned(hashed, 2).bitwiseOR(F.lit(1 << 62))
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    named = own.withColumn("mark", hashed).withColumn("id", F.coalesce(F.col("id"), by_text))
-    first = near_duplicates(named, distance, doc_id="id", text="text", mark="mark").where("doc_id = component_id").groupBy(F.col("doc_id").alias("first")).agg(F.collect_set("mark").alias("same"))
+    named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), by_text).alias("id"), hashed.alias("mark"))  # the text is in the row only, so it is moved and sorted once
+    own = F.col("row").getField(text)
+    first = near_duplicates(named.select("id", own.alias("text"), "mark"), distance, doc_id="id", text="text", mark="mark").where("doc_id = component_id").groupBy(F.col("doc_id").alias("first")).agg(F.collect_set("mark").alias("same"))
     kept = named.join(first, (F.col("id") == F.col("first")) & F.array_contains("same", F.col("mark")), "left_semi")  # by id alone, as the groups are: texts are shuffled once
-    order = F.struct(F.col("text").isNull(), F.col("text"))
-    return kept.groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return kept.groupBy("id").agg(F.min_by("row", F.struct(own.isNull(), own)).alias("row")).select("row.*")

@@ -334,6 +334,19 @@ def test_near_copies_dont_displace_texts_of_their_id(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, copy), (5, own)]
 
 
+def test_texts_are_moved_once(spark, rows):
+    plan = simhash.keep_first(frame(spark, rows))._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert [a.name() for a in (plan.left().output().apply(i) for i in range(plan.left().output().size()))] == ["row", "id", "mark"]
+
+
+def test_columns_of_keep_first_have_any_name(spark, rows):
+    docs = frame(spark, rows)
+    named = docs.withColumnsRenamed({"text": "row", "doc_id": "mark"})
+    assert sorted(map(str, map(tuple, simhash.keep_first(named, "mark", "row").collect()))) == sorted(map(str, map(tuple, simhash.keep_first(docs).collect())))
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(a, a + 1) for a in range(100, 160)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(1, 1), (None, 2)]
