@@ -12,7 +12,7 @@ lies in one document only is finished and never refined.
 Method: identifiers are hashes, not ranks of a global sort, and only sampled suffixes enter.
 Ranks of all suffixes would move each of them in each of the rounds (8, 16, 32, 50 bytes): some
 40 bytes of exchange for a byte of text, ten times the disk there is. What decides a removal is
-compared by 128 bits (two identifiers of different salts); 64 bits only decide what is looked at.
+compared by 128 bits (two identifiers of different salts); 64 bits or fewer only decide what is looked at.
 
 Not every suffix is taken up. Of the q-grams of each LENGTH-byte window the one with the
 smallest hash is its anchor, so equal windows have their anchors at equal offsets:
@@ -21,14 +21,17 @@ smallest hash is its anchor, so equal windows have their anchors at equal offset
    Where an earlier document has the same context, all of it is settled at once; where all
    members of a bucket share one context, there is nothing more to refine.
 3. What is left (first holders of contexts in mixed buckets, mostly the ends of repeats) has
-   each of its windows refined to LENGTH bytes and compared.
+   each of its windows refined to LENGTH bytes and compared: by short identifiers first, and by
+   128 bits where another document may have an equal one.
 
 Exchange: documents are dealt to batches by a hash of their id. In each step a batch sends
-its distinct identifiers with the least and greatest value seen, packed as byte planes, to
-partitions of the identifier space; a partition sorts them and returns those with different
-values. An identifier is one entry a batch however many documents hold it, so no bucket is
+its distinct identifiers with the least value seen and a flag for others, packed as byte planes, to
+partitions of the identifier space; a partition sorts them and returns a bit for each entry, which the
+batch reads in the order in which it sent them (of contexts, it returns those with a smaller value
+elsewhere). An identifier is one entry a batch however many documents hold it, so no bucket is
 hot. A blob has an entry at least, so blobs never outnumber entries, however large the input.
-Positions that a batch needs in the next step travel with it, so hashes are not made anew. Texts
+Positions that a batch needs in the next step travel with it, so hashes are not made anew; each step
+puts the batch's texts in the same order first, as rows come from several executors in any. Texts
 are shuffled once.
 
 n_long_spans and n_long_bytes tell removed runs of more than WORDS words, whole passages, from
@@ -77,22 +80,28 @@ def slid(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 class Texts:
-    """Texts as one buffer with `pad` zero bytes around each, so that reads of so many bytes beyond a text meet no other."""
+    """Texts as one buffer with `pad` zero bytes around each, so that reads of so many bytes beyond a text meet no other.
+
+    They are ordered by key and text, since a shuffle hands a batch's rows to each step in any order and positions must
+    mean the same in all steps. `order` has the rows of the table in that order.
+    """
 
     def __init__(self, table: pa.Table, pad: int) -> None:
         texts = pc.fill_null(table.column("text"), "").cast(pa.large_string()).combine_chunks()
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+        key = table.column("key").combine_chunks()
+        self.order = pc.sort_indices(pa.table({"key": key, "text": texts}), sort_keys=[("key", "ascending"), ("text", "ascending")]).to_numpy()
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = memoryview(texts.buffers()[2] or b"")
         gap = bytes(pad)
-        self.size = np.diff(offsets) if len(texts) else np.zeros(0, np.int64)
+        self.size = np.diff(offsets)[self.order] if len(texts) else np.zeros(0, np.int64)
         parts = [gap]
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for a, b in zip(offsets[:-1][self.order].tolist(), offsets[1:][self.order].tolist()):
             parts += (whole[a:b], gap)
         self.data = b"".join(parts)
         self.start = pad + np.cumsum(np.r_[0, self.size + pad])[:-1].astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.end = self.start + self.size
-        self.key = np.array(table.column("key"), dtype=np.int64)
+        self.key = np.array(key, dtype=np.int64)[self.order]
         self.word = np.ndarray((max(0, len(self.data) - 7),), dtype="<u8", buffer=self.data, strides=(1,))
 
     def doc(self, at: np.ndarray) -> np.ndarray:
@@ -166,49 +175,76 @@ def unplanes(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
     return p.view("<u8").ravel(), data[1 + k * n :]
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    return len(columns[0]).to_bytes(4, "little") + b"".join(planes(c) for c in columns)
+def packed(*columns: np.ndarray, flags: np.ndarray | None = None) -> bytes:
+    n = len(columns[0] if columns else flags)
+    return n.to_bytes(4, "little") + b"".join(planes(c) for c in columns) + (b"" if flags is None else np.packbits(flags).tobytes())
 
 
 def unpacked(blob: bytes, n_columns: int) -> list[np.ndarray]:
+    """The columns, and the flags if there are any."""
     data = memoryview(blob)
     n, data, out = int.from_bytes(data[:4], "little"), data[4:], []
     for _ in range(n_columns):
         column, data = unplanes(data, n)
         out.append(column)
+    return out + ([np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)] if len(data) else [])
+
+
+def distinct(ids: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the identifiers, and where in it each distinct one begins."""
+    order = np.argsort(ids, kind="stable") if more is None else np.lexsort((more, ids))
+    s = ids[order]
+    new = np.r_[np.ones(min(len(s), 1), bool), s[1:] != s[:-1]]
+    if more is not None:
+        m = more[order]
+        new[1:] |= m[1:] != m[:-1]
+    return order, np.flatnonzero(new)
+
+
+def lowest(ids: np.ndarray, values: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For each identifier the least value of its equals."""
+    if not len(ids):
+        return values
+    order, first = distinct(ids, more)
+    out = np.empty_like(values)
+    out[order] = np.repeat(np.minimum.reduceat(values[order], first), np.diff(np.r_[first, len(ids)]))
     return out
 
 
 SENT = "part int, batch int, kind int, blob binary"
 NAMES = ["part", "batch", "kind", "blob"]
 CARRY = 9
+#: Kinds of entries: q-grams, contexts by their q-gram, contexts, windows by short identifiers, windows.
+GRAMS, BUCKETS, CONTEXTS, LIKELY, WINDOWS = 1, 2, 3, 4, 5
 #: Salt of the second identifier of the kinds of entries whose equality removes text.
-SALT, SURE = 0x5851F42D4C957F2D, (3, 4)
+SALT, SURE = 0x5851F42D4C957F2D, (CONTEXTS, WINDOWS)
+#: Kinds that only decide what is looked at: identifiers have some bits more than the input's size, and a chance equality costs a look.
+SHORT, SPARE = (GRAMS, BUCKETS, LIKELY), 4
+#: Kinds of which only the batch is compared, as they have no value of their own.
+PLAIN = (GRAMS, LIKELY)
 
 
 class Sent:
-    """Rows that a batch sends: entries (identifier, least and greatest value) by partition, and what it carries to its next step."""
+    """Rows that a batch sends: entries (identifier, least value, whether there are others) by partition, and what it carries to its next step."""
 
-    def __init__(self, batch: int, parts: int) -> None:
-        self.batch, self.parts, self.rows = batch, parts, []
+    def __init__(self, batch: int, parts: int, drop: int = 0) -> None:
+        self.batch, self.parts, self.drop, self.rows = batch, parts, drop, []
 
     def entries(self, kind: int, ids: np.ndarray, values: np.ndarray, more: np.ndarray | None = None) -> None:
         """more: second identifiers."""
         if not len(ids):
             return
-        order = np.argsort(ids, kind="stable") if more is None else np.lexsort((more, ids))
-        ids, values = ids[order], values[order]
-        new = ids[1:] != ids[:-1]
-        if more is not None:
-            more = more[order]
-            new |= more[1:] != more[:-1]
-        first = np.flatnonzero(np.r_[True, new])
-        low, high, ids = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first), ids[first]
-        rest = [] if more is None else [more[first]]
-        to = ((ids >> U(32)) * U(self.parts)) >> U(32)
+        drop = U(self.drop if kind in SHORT else 0)
+        ids = ids >> drop
+        order, first = distinct(ids, more)
+        values = values[order]
+        low = np.minimum.reduceat(values, first)
+        several, ids = low < np.maximum.reduceat(values, first), ids[order[first]]
+        rest = [*([] if kind in PLAIN else [low]), *([] if more is None else [more[order[first]]])]
+        to = (((ids << drop) >> U(32)) * U(self.parts)) >> U(32)
         cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
-            self.rows.append((int(to[a]), self.batch, kind, packed(np.diff(ids[a:b], prepend=U(0)), low[a:b], high[a:b] - low[a:b], *[x[a:b] for x in rest])))
+            self.rows.append((int(to[a]), self.batch, kind, packed(np.diff(ids[a:b], prepend=U(0)), *[x[a:b] for x in rest], flags=several[a:b])))
 
     def carry(self, slot: int, *columns: np.ndarray) -> None:
         self.rows.append((-1 - self.batch, self.batch, CARRY + slot, packed(*[np.asarray(c).astype(U) for c in columns])))
@@ -223,68 +259,77 @@ def rows_table(rows: list[tuple]) -> pa.Table:
 
 
 def meet(key: tuple, table: pa.Table) -> pa.Table:
-    """In one partition: return to each batch its identifiers that have several values, with the least one."""
+    """In one partition: tell each batch which of its entries have several values, or for SURE kinds a smaller value than its own.
+
+    It is told by a bit for each of its entries, in their order; of contexts, by identifiers and least values.
+    """
     rows = list(zip(*(table.column(c).to_pylist() for c in NAMES)))
     if key[0].as_py() < 0:
         return rows_table(rows)
     out = []
     for kind in sorted({r[2] for r in rows}):
-        own = [r for r in rows if r[2] == kind]
-        blobs = [unpacked(r[3], 3 + (kind in SURE)) for r in own]
+        own, sure = [r for r in rows if r[2] == kind], kind in SURE
+        blobs = [unpacked(r[3], 1 + (kind not in PLAIN) + sure) for r in own]
         ids = np.concatenate([np.cumsum(b[0], dtype=U) for b in blobs])
-        low, high = np.concatenate([b[1] for b in blobs]), np.concatenate([b[1] + b[2] for b in blobs])
-        more = np.concatenate([b[3] for b in blobs]) if kind in SURE else np.zeros(0, U)
-        order = np.lexsort((more, ids)) if kind in SURE else np.argsort(ids, kind="stable")
-        s = ids[order]
-        new = s[1:] != s[:-1]
-        if kind in SURE:
-            m = more[order]
-            new |= m[1:] != m[:-1]
-        first = np.flatnonzero(np.r_[True, new])
-        least, most = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-        several = np.zeros(len(ids), bool)
-        several[order] = np.repeat(least < most, np.diff(np.r_[first, len(s)]))
-        floor = np.zeros(len(ids), U)
-        floor[order] = np.repeat(least, np.diff(np.r_[first, len(s)]))
+        low = np.concatenate([np.full(len(b[0]), r[1], U) if kind in PLAIN else b[1] for r, b in zip(own, blobs)])
+        order, first = distinct(ids, np.concatenate([b[2] for b in blobs]) if sure else None)
+        times = np.diff(np.r_[first, len(ids)])
+        floor, told = np.empty_like(low), np.zeros(len(ids), bool)
+        floor[order] = np.repeat(np.minimum.reduceat(low[order], first), times)
+        if sure:
+            told = floor < low
+        else:
+            differ = (floor < low) | np.concatenate([b[-1] for b in blobs])
+            told[order] = np.repeat(np.logical_or.reduceat(differ[order], first), times)
         at = 0
         for r, b in zip(own, blobs):
             e = slice(at, at + len(b[0]))
-            keep, at = several[e], at + len(b[0])
-            if keep.any():
-                out.append((r[0], r[1], kind, packed(np.diff(ids[e][keep], prepend=U(0)), floor[e][keep], *[x[keep] for x in b[3:]])))
+            keep, at = told[e], at + len(b[0])
+            if kind != CONTEXTS:
+                out.append((r[0], r[1], kind, packed(flags=keep)))
+            elif keep.any():
+                out.append((r[0], r[1], kind, packed(np.diff(ids[e][keep], prepend=U(0)), floor[e][keep], b[2][keep])))
     return rows_table(out)
 
 
 class Returned:
     """What came back to a batch."""
 
-    def __init__(self, table: pa.Table) -> None:
-        self.rows = list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()))
-
-    def found(self, kind: int, ids: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, table: pa.Table, drop: int = 0) -> None:
+        self.rows, self.drop = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "blob")))), drop
+
+    def told(self, kind: int, ids: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+        """The bits of the identifiers, which are those that the batch sent."""
+        out = np.zeros(len(ids), bool)
+        if len(ids):
+            order, first = distinct(ids >> U(self.drop if kind in SHORT else 0), more)
+            bits = np.concatenate([np.zeros(0, bool), *(unpacked(b, 0)[0] for k, _, b in self.rows if k == kind)])
+            if len(bits) != len(first):
+                raise RuntimeError("a batch has other identifiers than it sent")
+            out[order] = np.repeat(bits, np.diff(np.r_[first, len(ids)]))
+        return out
+
+    def found(self, kind: int, ids: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the identifiers came back, and their least values."""
-        blobs = [unpacked(b, 2 + (kind in SURE)) for k, b in self.rows if k == kind]
+        blobs = [unpacked(b, 3) for k, _, b in self.rows if k == kind]
         if not blobs or not len(ids):
             return np.zeros(len(ids), bool), np.zeros(len(ids), U)
         own, low = np.concatenate([np.cumsum(b[0], dtype=U) for b in blobs]), np.concatenate([b[1] for b in blobs])
         order = np.argsort(own, kind="stable")
-        own, low = own[order], low[order]
+        own, low, second = own[order], low[order], np.concatenate([b[2] for b in blobs])[order]
         last = len(own) - 1
         at = np.minimum(np.searchsorted(own, ids), last)
         same = own[at] == ids
-        if more is not None:
-            second = np.concatenate([b[2] for b in blobs])[order]
-            while True:  # identifiers that are equal in the first 64 bits only stand side by side
-                step = same & (second[at] != more) & (at < last)
-                step &= own[np.minimum(at + 1, last)] == ids
-                if not step.any():
-                    break
-                at = at + step
-            same &= second[at] == more
-        return same, low[at]
+        while True:  # identifiers that are equal in the first 64 bits only stand side by side
+            step = same & (second[at] != more) & (at < last)
+            step &= own[np.minimum(at + 1, last)] == ids
+            if not step.any():
+                break
+            at = at + step
+        return same & (second[at] == more), low[at]
 
     def carried(self, slot: int, n_columns: int) -> list[np.ndarray]:
-        for k, b in self.rows:
+        for k, _, b in self.rows:
             if k == CARRY + slot:
                 return [c.astype(np.int64) for c in unpacked(b, n_columns)]
         return [np.zeros(0, np.int64)] * n_columns
@@ -322,67 +367,73 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     batch_bytes = batch_bytes or between(total // MANY_BATCHES, *BATCH_BYTES)
     rows = in_batches(own, "text", "key", batch_bytes)
     parts = max(1, -(-total // (part_bytes or between(total // MANY_PARTS, *PART_BYTES))))
+    drop = max(0, 64 - SPARE - total.bit_length())
     refine = Refiner(length, gram)
     batch_of = lambda table: table.column("__batch")[0].as_py()
     # values are compared as unsigned integers; shifted keys keep their order
     values = lambda t, doc: t.key[doc].astype(U) + U(1 << 63)
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
-        t, batch = Texts(table, refine.pad), batch_of(table)
+        t = Texts(table, refine.pad)
         at = refine.anchors(t)
-        ids, key = refine.ids(t, at, gram), t.key[t.doc(at)]
-        order = np.lexsort((key, ids))
-        ids, key = ids[order], key[order]
-        first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
-        lead = np.flatnonzero(first)
-        other = key != key[lead][np.cumsum(first) - 1] if len(ids) else first  # several documents of this batch
-        sent = Sent(batch, parts)
-        sent.entries(1, ids, U(2 * batch) + other.astype(U))
+        sent = Sent(batch_of(table), parts, drop)
+        sent.entries(GRAMS, refine.ids(t, at, gram), values(t, t.doc(at)))
         sent.carry(0, np.diff(at, prepend=0))
         return sent.table()
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, back = Texts(left, refine.pad), Returned(right)
+        t, back = Texts(left, refine.pad), Returned(right, drop)
         at = np.cumsum(back.carried(0, 1)[0])
         ids = refine.ids(t, at, gram)
-        live, _ = back.found(1, ids)
+        live = back.told(GRAMS, ids)
         at, ids = at[live], ids[live]
         doc = t.doc(at)
         context = refine.contexts(t, at, doc)
-        sent = Sent(batch_of(left), parts)
-        sent.entries(2, ids, context)
-        sent.entries(3, context, values(t, doc), refine.contexts(t, at, doc, SALT))
+        sent = Sent(batch_of(left), parts, drop)
+        sent.entries(BUCKETS, ids, context)
+        sent.entries(CONTEXTS, context, values(t, doc), refine.contexts(t, at, doc, SALT))
         sent.carry(0, np.diff(at, prepend=0))
         return sent.table()
 
     def split(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, back = Texts(left, refine.pad), Returned(right)
+        t, back = Texts(left, refine.pad), Returned(right, drop)
         at = np.cumsum(back.carried(0, 1)[0])
         doc = t.doc(at)
         context = refine.contexts(t, at, doc)
-        mixed_bucket, _ = back.found(2, refine.ids(t, at, gram))
-        several, low = back.found(3, context, refine.contexts(t, at, doc, SALT))
-        earlier = several & (low < values(t, doc))
+        mixed_bucket = back.told(BUCKETS, refine.ids(t, at, gram))
+        own, second = values(t, doc), refine.contexts(t, at, doc, SALT)
+        several, low = back.found(CONTEXTS, context, second)
+        earlier = (several & (low < own)) | (lowest(context, own, second) < own)
         # the windows that hold the q-gram
         first, last = np.maximum(at - refine.left, t.start[doc]), np.minimum(at, t.end[doc] - length)
-        sent = Sent(batch_of(left), parts)
+        sent = Sent(batch_of(left), parts, drop)
         gone = union(first[earlier], last[earlier] + length)
         sent.carry(0, np.diff(gone[0], prepend=0), gone[1] - gone[0])
         open_ = mixed_bucket & ~earlier
         runs = union(first[open_], last[open_] + 1)
         windows = stretched(*runs)
-        sent.entries(4, refine.ids(t, windows, length), values(t, t.doc(windows)), refine.ids(t, windows, length, SALT))
+        sent.entries(LIKELY, refine.ids(t, windows, length), values(t, t.doc(windows)))
         sent.carry(1, np.diff(runs[0], prepend=0), runs[1] - runs[0])
         return sent.table()
 
+    def sift(left: pa.Table, right: pa.Table) -> pa.Table:
+        t, back = Texts(left, refine.pad), Returned(right, drop)
+        steps, sizes = back.carried(1, 2)
+        windows = stretched(np.cumsum(steps), np.cumsum(steps) + sizes)
+        windows = windows[back.told(LIKELY, refine.ids(t, windows, length))]
+        sent = Sent(batch_of(left), parts, drop)
+        sent.entries(WINDOWS, refine.ids(t, windows, length), values(t, t.doc(windows)), refine.ids(t, windows, length, SALT))
+        sent.carry(0, *back.carried(0, 2))
+        sent.carry(1, np.diff(windows, prepend=0))
+        return sent.table()
+
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, back = Texts(left, refine.pad), Returned(right)
+        t, back = Texts(left, refine.pad), Returned(right, drop)
         steps, sizes = back.carried(0, 2)
         start, end = np.cumsum(steps), np.cumsum(steps) + sizes
-        steps, sizes = back.carried(1, 2)
-        windows = stretched(np.cumsum(steps), np.cumsum(steps) + sizes)
-        several, low = back.found(4, refine.ids(t, windows, length), refine.ids(t, windows, length, SALT))
-        hit = windows[several & (low < values(t, t.doc(windows)))]
+        windows = np.cumsum(back.carried(1, 1)[0])
+        own, ids, second = values(t, t.doc(windows)), refine.ids(t, windows, length), refine.ids(t, windows, length, SALT)
+        hit = windows[back.told(WINDOWS, ids, second) | (lowest(ids, own, second) < own)]
         start, end = union(np.r_[start, hit], np.r_[end, hit + length])
         doc = t.doc(start)
         n = len(t.size)
@@ -402,14 +453,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
             digests.append(hashlib.sha256(rest).hexdigest())
             if with_bytes:
                 kept.append(rest)
-        out = {"doc_id": left.column("doc_id"), "n_bytes": t.size, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept_sha256": pa.array(digests, pa.string()), "n_long_spans": n_long.astype(np.int64), "n_long_bytes": long_bytes}
+        out = {"doc_id": left.column("doc_id").take(pa.array(t.order)), "n_bytes": t.size, "n_removed": removed, "n_spans": spans.astype(np.int64), "kept_sha256": pa.array(digests, pa.string()), "n_long_spans": n_long.astype(np.int64), "n_long_bytes": long_bytes}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_bytes else {}))
 
     def returned(sent: DataFrame) -> DataFrame:
         return sent.groupBy("part").applyInArrow(meet, SENT).withColumnRenamed("batch", "__batch").groupBy("__batch")
 
     step = rows.groupBy("__batch").applyInArrow(bucket, SENT)
-    for function in (settle, split):
+    for function in (settle, split, sift):
         step = rows.groupBy("__batch").cogroup(returned(step)).applyInArrow(function, SENT)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_long_spans long, n_long_bytes long" + ", kept binary" * with_bytes
     return rows.groupBy("__batch").cogroup(returned(step)).applyInArrow(apply, schema)

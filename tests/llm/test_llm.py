@@ -142,6 +142,25 @@ def test_bytes_removed_equal_brute_force(spark, length, gram, alphabet):
         assert all(hashlib.sha256(x.kept).hexdigest() == x.kept_sha256 for x in got)
 
 
+def test_rows_of_a_batch_come_in_any_order(spark, rows):
+    """Executors hand a batch's rows to each step in another order; here they are shuffled whenever they are read."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(pa.array(np.random.default_rng().permutation(b.num_rows)))
+
+    rows = rows + [(i, t + rows[k][1], "en", "a") for k in range(3) for i in (5, None) for t in (rows[4][1], "other ")]
+    want = bytes_removed([(common.NO_ID if i is None else i, (t or "").encode()) for i, t, *_ in rows], 50)
+    docs = frame(spark, rows)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for size in (20_000, 10**9):
+            got = suffix_dedup.remove_repeats(docs.mapInArrow(shuffled, docs.schema), batch_bytes=size).collect()
+            assert sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted((str(r[0]), *w) for r, w in zip(rows, want))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_equal_halves_of_identifiers_are_told_apart():
     u = np.array
     sent = [suffix_dedup.Sent(b, 1) for b in (0, 1)]
